@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import map_batches
 
@@ -170,7 +171,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") ->
     taken = {c.lower() for c in docs.columns}
     if "token_ids" in taken:
         raise ValueError("the input already has a column token_ids")
-    schema = docs.schema.add("token_ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(vocabulary)

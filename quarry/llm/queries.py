@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe
+from quarry.llm import bpe, exact_dedup, mixing
 from quarry.llm.common import documents
 
 QUERIES = {
     "op1_bpe": lambda spark, sf_dir: bpe.digest(documents(spark, sf_dir)),
+    "op2_mixing": lambda spark, sf_dir: mixing.digest(documents(spark, sf_dir)),
+    "op4_exact_dedup": lambda spark, sf_dir: exact_dedup.decide(documents(spark, sf_dir)),
+}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op4_exact_dedup": exact_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
