@@ -14,11 +14,13 @@ the noise of the rest), and break ties by three different hashes.
    blocks of bounded size inside tasks, and only a spanning forest of its links is sent on. So a large group
    of near copies costs no pair rows; groups with the same members are compared once.
 4. Candidates: pairs of representatives that share a prefix token of the first order, have sizes in range
-   and share no key of step 3 (those pairs are decided); the pairs whose prefixes also meet under the
-   second and the third order are verified by their sets.
+   and share no key of step 3 (those pairs are decided). Under the second order the prefixes are longer by
+   n // 8 tokens and must have as many in common as they are longer; under the third they must meet. What
+   is left is verified by its sets.
 5. Links give components by label passing over tables in the shared folder.
 
-Nothing is capped: any pair that links shares prefix tokens under all orders, so step 3 or step 4 sees it.
+Texts never shuffle: the few documents whose sets are needed are looked up by their ids, which are broadcast
+up to a checked number. Nothing is capped: any pair that links shares prefix tokens under all orders, so step 3 or step 4 sees it.
 Texts are hashed in whole; sets of involved documents only are computed again instead of being stored.
 
 Defined cases: null, empty or all-white texts have no shingles and link with nothing, their component is
@@ -36,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import attach, components, map_batches, small_batches, stored
 from quarry.llm.shingles import salted, shingle_sets
@@ -78,12 +81,22 @@ def token_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray
     return np.minimum(255, 16 * np.log2(1 + bins / max(1.0, bins.mean()))).astype(np.uint8)
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-n * num // den) + 1
+def prefix_length(n: int, num: int, den: int, more: int = 1) -> int:
+    """Two sets that link have their first ``more`` common tokens, in any order, among so many first ones of each."""
+    return n - -(-n * num // den) + more
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has few rows; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, key (hash of the set), stars (keys of step 3), p1, p2, p3 (prefixes); nulls where n is 0."""
+    """doc_id, n, key (hash of the set), stars (keys of step 3), p1, p2, p3 (prefixes) and met; nulls where n is 0.
+
+    ``met``: how many tokens two linked documents have in common in p2, at least, as far as this one is concerned.
+    p2 and p3 hold 32 bits of each token; tokens that coincide in them lower ``met``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - int(np.log2(len(levels))))
 
@@ -92,6 +105,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
         out: dict[str, list] = {"n": sizes.tolist(), "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]}
         full = np.flatnonzero(sizes)
         stars: list = [None] * len(sets)
+        met = [None] * len(sets)
         prefixes: list[list] = [[None] * len(sets) for _ in range(3)]
         if len(full):
             tokens = np.concatenate([sets[i] for i in full])
@@ -102,35 +116,41 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
             orders = [level | salted(tokens, 60 + o) >> np.uint64(8) for o in range(3)]
             for row, i in enumerate(full):
                 stars[i] = keys[row]
-                p = prefix_length(int(sizes[i]), num, den)
+                n = int(sizes[i])
                 for o, order in enumerate(orders):
+                    p = min(n, prefix_length(n, num, den, 1 + n // 8 if o == 1 else 1))
                     first = np.partition(order[starts[row] : starts[row + 1]], p - 1)[:p]
-                    prefixes[o][i] = first.view(np.int64) if o == 0 else (first & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-        return out | {"stars": stars, "p1": prefixes[0], "p2": prefixes[1], "p3": prefixes[2]}
+                    if o == 0:
+                        prefixes[0][i] = first.view(np.int64)
+                    else:
+                        prefixes[o][i] = short = np.unique((first & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
+                        if o == 1:
+                            met[i] = max(1, len(short) - prefix_length(n, num, den, 0))
+        return out | {"met": met, "stars": stars, "p1": prefixes[0], "p2": prefixes[1], "p3": prefixes[2]}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: dict[str, list] = {c: [] for c in ("n", "key", "stars", "p1", "p2", "p3")}
+        found: dict[str, list] = {c: [] for c in ("n", "key", "met", "stars", "p1", "p2", "p3")}
         with np.errstate(over="ignore"):
             for sets in shingle_sets(batch.column("text"), k):
                 for c, values in profile(sets).items():
                     found[c] += values
-        types = {"n": pa.int64(), "key": pa.binary(), "stars": pa.list_(pa.int64()), "p1": pa.list_(pa.int64()), "p2": pa.list_(pa.int32()), "p3": pa.list_(pa.int32())}
+        types = {"n": pa.int64(), "key": pa.binary(), "met": pa.int64(), "stars": pa.list_(pa.int64()), "p1": pa.list_(pa.int64()), "p2": pa.list_(pa.int32()), "p3": pa.list_(pa.int32())}
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[c], t) for c, t in types.items())], names=["doc_id", *types])
 
-    schema = "doc_id long, n long, key binary, stars array<long>, p1 array<long>, p2 array<int>, p3 array<int>"
+    schema = "doc_id long, n long, key binary, met long, stars array<long>, p1 array<long>, p2 array<int>, p3 array<int>"
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tokens) of the documents in ``ids(doc_id)``."""
+    """Columns of ``ids`` (unique in doc_id) and tokens, for the documents in it."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = [s.view(np.int64) for sets in shingle_sets(batch.column("text"), k) for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens, pa.list_(pa.int64()))], names=[*names, "tokens"])
 
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return map_batches(wanted, run, "doc_id long, tokens array<long>")
+    names = ids.columns
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(ids), "doc_id").select(*names, "text")
+    return map_batches(wanted, run, T.StructType([*ids.schema.fields, T.StructField("tokens", T.ArrayType(T.LongType()))]))
 
 
 def similar(common: Column, a: Column, b: Column, num: int, den: int) -> Column:
@@ -176,51 +196,56 @@ def block_links(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links between representatives, enough of them to connect all that any links connect."""
-    reps = stored(profile.filter("n > 0 and doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("doc_id", "n", "stars", "p1", "p2", "p3"), "reps")
+def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links between the representatives, enough of them to connect all that any links connect."""
     starred = reps.select("doc_id", F.explode("stars").alias("star")).distinct()
     groups = starred.groupBy("star").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.sum(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 31))).alias("sum")).filter("size > 1")
     groups = stored(groups, "key-groups")
-    in_groups = starred.join(groups, "star")
-    decided = in_groups.groupBy("doc_id").agg(F.collect_set("star").alias("decided"))
+    grouped = stored(starred.join(groups.select("star", "size"), "star"), "grouped")
+    decided = grouped.groupBy("doc_id").agg(F.collect_set("star").alias("decided"))
 
-    tokens = reps.select("doc_id", "n", "p1").join(decided, "doc_id", "left").select("doc_id", "n", F.coalesce("decided", F.array().cast("array<long>")).alias("decided"), F.explode(F.array_distinct("p1")).alias("token"))
+    tokens = reps.select("doc_id", "n", "p1").join(sized(stored(decided, "decided")), "doc_id", "left").select("doc_id", "n", "decided", F.explode("p1").alias("token"))
     x, y = (tokens.select(F.col("token").alias(f"t{s}"), F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("decided").alias(f"d{s}")) for s in "ab")
-    in_range = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & ~F.arrays_overlap("da", "db")
-    pairs = x.join(y, (F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")) & in_range).select("a", "b").distinct()
-    second = reps.select("doc_id", "p2", "p3")
+    in_range = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & ~F.coalesce(F.arrays_overlap("da", "db"), F.lit(False))
+    pairs = stored(x.join(y, (F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")) & in_range).select("a", "b").distinct(), "first-order")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    others = stored(reps.select("doc_id", "met", "p2", "p3").join(sized(stored(ids, "paired")), "doc_id", "left_semi"), "other-orders")
     for s in "ab":
-        pairs = pairs.join(second.select(F.col("doc_id").alias(s), F.col("p2").alias(f"p2{s}"), F.col("p3").alias(f"p3{s}")), s)
-    pairs = stored(pairs.filter(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b").distinct(), "candidates")
+        pairs = pairs.join(others.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("met", "p2", "p3"))), s)
+    enough = F.size(F.array_intersect("p2a", "p2b")) >= F.least("meta", "metb")
+    pairs = stored(pairs.filter(F.arrays_overlap("p3a", "p3b") & enough).select("a", "b").distinct(), "candidates")
 
     once = groups.groupBy("size", "members", "sum").agg(F.min("star").alias("star"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    members = starred.join(once, "star").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id")
-    ids = in_groups.select("doc_id").unionByName(pairs.select(F.col("a").alias("doc_id"))).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(sets_of(docs, stored(ids, "involved"), k), "sets")
+    members = grouped.join(once.select("star"), "star").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", own)
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    places = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))).alias("places"))
 
     def compare(table: pa.Table) -> pa.Table:
         return block_links(table, num, den)
 
-    in_blocks = dealt.join(sets, "doc_id").groupBy("star", "i", "j").applyInArrow(compare, "a long, b long")
+    in_groups = sets_of(docs, stored(places, "places"), k).select(F.explode("places").alias("place"), "doc_id", "tokens")
+    in_groups = in_groups.select("place.star", "place.i", "place.j", "doc_id", "tokens").groupBy("star", "i", "j").applyInArrow(compare, "a long, b long")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(sets_of(docs, stored(ids, "candidate-ids"), k), "sets")
     verified = pairs
     for s in "ab":
         verified = verified.join(sets.select(F.col("doc_id").alias(s), F.col("tokens").alias(f"t{s}")), s)
     common = F.size(F.array_intersect("ta", "tb"))
-    return in_blocks.unionByName(verified.filter(similar(common, F.size("ta"), F.size("tb"), num, den)).select("a", "b"))
+    return in_groups.unionByName(verified.filter(similar(common, F.size("ta"), F.size("tb"), num, den)).select("a", "b"))
 
 
 def cluster(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents linked at a Jaccard similarity of num/den or more."""
     profile = stored(profiles(docs, k, num, den, token_levels(docs, k)), "profiles")
-    classes = stored(profile.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    linked = components(links(docs, profile, classes.filter("rep is not null"), k, num, den), "ngram-links")
-    named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("key", "size", F.coalesce("component", "rep").alias("component_id"))
     rows = profile.select("doc_id", "n", "key")
-    full = attach(rows.filter("n > 0"), named, "key", "size", rows.count())
+    total = rows.count()
+    classes = stored(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
+    copies = attach(rows.filter("n > 0"), classes.filter("size > 1"), "key", "size", total).filter("doc_id != rep").select("doc_id", "key").distinct()
+    reps = profile.filter("n > 0 and doc_id is not null").join(sized(stored(copies, "copies")), ["doc_id", "key"], "left_anti")
+    linked = components(links(docs, reps, k, num, den), "ngram-links")
+    named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("key", "size", F.coalesce("component", "rep").alias("component_id"))
+    full = attach(rows.filter("n > 0"), named, "key", "size", total)
     return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
