@@ -6,6 +6,7 @@ resolved by simple name within the project; a name that isn't in the project is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from quarry.functions import formulas
 from quarry.operators import graph
 from quarry.operators.rollup import long_form
 from quarry.operators.tokens import halstead_counts
+from quarry.plans import java_names
 from quarry.sources import java_source
 
 METHOD = ["path", "package", "class", "member"]
@@ -129,22 +131,34 @@ def packages(class_rows: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("PAMI", formulas.maintainability(F.col("PAHVL"), F.col("cc").cast("double"), F.col("PLOC").cast("double")))
 
 
-METHOD_CODES = ["CC", "CCM", "CND", "LND", "MND", "NOL", "LOC", "NOPM", *HALSTEAD.values(), "MMI"]
-CLASS_CODES = ["WMC", "NOM", "NOO", "NOOM", "NOAM", "NOAC", "NOPA", "NCSS", "TCC", "CLOC", "CCC", *(f"C{c}" for c in HALSTEAD.values()), "CMI", "DIT", "NOC"]
+METHOD_CODES = ["CC", "CCM", "CND", "LND", "MND", "NOL", "LOC", "NOPM", "NOAV", "CINT", *HALSTEAD.values(), "MMI"]
+CLASS_CODES = ["WMC", "NOM", "NOO", "NOOM", "NOAM", "NOAC", "NOPA", "NCSS", "TCC", "CLOC", "CCC", *(f"C{c}" for c in HALSTEAD.values()), "CMI", "DIT", "NOC", "NOA", "SIZE2", "DAC", "CBO", "RFC", "MPC", "WOC", "LCOM"]
 PACKAGE_CODES = ["Ce", "Ca", "I", "A", "D", "PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC", *(f"PA{c}" for c in HALSTEAD.values()), "PAMI"]
 PROJECT_CODES = ["PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC", *(f"PR{c}" for c in HALSTEAD.values()), "PRMI"]
 
 
+_EXTRA: list[tuple[str, str, Callable[[dict[str, DataFrame]], DataFrame]]] = []
+
+
+def register_metric(code: str, level: str, build: Callable[[dict[str, DataFrame]], DataFrame]) -> None:
+    """Adds a metric: ``build`` maps the syntax tables to (entity_id, parent_id, value)."""
+    if level not in ("method", "class", "package", "project") or any(c == code for c, _, _ in _EXTRA) or code in {*METHOD_CODES, *CLASS_CODES, *PACKAGE_CODES, *PROJECT_CODES}:
+        raise ValueError(f"{code}: the level is unknown or the code is taken")
+    _EXTRA.append((code, level, build))
+
+
 def analyze(spark: SparkSession, roots: list[str], exclude: tuple[str, ...] = ()) -> Analysis:
     """All metrics of the sources below ``roots``. Undefined maintainability is a row; unmeasured token metrics are none."""
     t = {name: graph.kept(df) for name, df in java_source.tables(java_source.files(spark, roots, exclude)).items()}
-    method_rows = graph.kept(methods(t).withColumn("entity", F.concat_ws("#", "class", "member")))
+    method_rows = graph.kept(methods(t).join(java_names.method_metrics(t), METHOD, "left").withColumn("entity", F.concat_ws("#", "class", "member")))
     class_rows = classes(t, method_rows)
-    class_rows = graph.kept(class_rows.join(inheritance(class_rows), "class", "left"))
+    class_rows = graph.kept(class_rows.join(inheritance(class_rows), "class", "left").join(java_names.class_metrics(t), ["path", "package", "class"], "left"))
     package_rows = graph.kept(packages(class_rows, t))
     project = package_rows.agg(*(F.sum(c).alias(c) for c in ("PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC")), F.sum("cc").alias("cc"), *(F.coalesce(F.sum(f"PA{c}"), F.lit(0.0)).alias(f"PR{c}") for c in HALSTEAD.values()))
     project = project.withColumn("PRMI", formulas.project_maintainability(F.col("PRHVL"), F.col("cc"), F.col("PLOC"))).select("*", F.lit("project").alias("entity"), F.lit(None).cast("string").alias("parent"))
     rows = long_form(method_rows, "method", "entity", "class", METHOD_CODES).unionByName(long_form(class_rows, "class", "class", "package", CLASS_CODES))
     rows = rows.unionByName(long_form(package_rows.withColumn("parent", F.lit("project")), "package", "package", "parent", PACKAGE_CODES)).unionByName(long_form(project, "project", "entity", "parent", PROJECT_CODES))
-    undefined = F.col("code").isin("MMI", "CMI", "PAMI")
+    for code, level, build in _EXTRA:
+        rows = rows.unionByName(long_form(build(t).withColumnRenamed("value", code), level, "entity_id", "parent_id", [code]))
+    undefined = F.col("code").isin("MMI", "CMI", "PAMI", "RFC")
     return Analysis(t, rows.filter(F.col("value").isNotNull() | undefined))

@@ -1,6 +1,6 @@
 import pytest
 
-from quarry.plans import java_metrics
+from quarry.plans import java_metrics, java_names
 from quarry.sources.java_lexer import lex
 from quarry.sources.java_parser import ParseError, parse
 
@@ -117,6 +117,10 @@ def test_metrics(analysis):
     assert cls("WMC") == 1 + 1 + 1 + 1 + 11 + method("pick(List<? extends T>)", "CC")
     assert cls("NOC", "shop.model.Base") == 1 and cls("DIT", "shop.model.Base") == 1
     assert cls("NOM", "shop.model.Shape.Inner") == 1 and cls("NOAM", "shop.model.Shape.Inner") == 0
+    # width, height and names; Base has none. Calls: stream, filter, map, toList, get
+    assert (cls("NOA"), cls("SIZE2"), cls("DAC"), cls("MPC"), cls("LCOM")) == (3, 3 + 4 + 1, 2, 5, 1)
+    assert cls("WOC") == pytest.approx(3 / 5) and method("setWidth(int)", "NOAV") == 2 and method("pick(List<? extends T>)", "CINT") == 5
+    assert ("class", "shop.model.Shape.Inner", "RFC") in found and found["class", "shop.model.Shape.Inner", "RFC"] is None and cls("RFC") > 10
     package = lambda code, name="shop.model": found["package", name, code]
     assert (package("PNOCC"), package("PNOAC"), package("PNOI"), package("Ce")) == (1, 1, 1, 2)
     assert package("A") == pytest.approx(2 / 3) and package("Ca", "shop.util") == 1
@@ -124,6 +128,15 @@ def test_metrics(analysis):
     assert not any("Skipped" in e for _, e, _ in found)
 
 
+def test_coverage_and_extension(analysis):
+    row = java_names.coverage(analysis.tables).first()
+    assert 0 < row.coverage <= 1 and row.resolved <= row.attempts
+    with pytest.raises(ValueError):
+        java_metrics.register_metric("CC", "method", lambda t: None)
+    java_metrics.register_metric("NOP_TEST", "class", lambda t: t["classes"].selectExpr("class as entity_id", "package as parent_id", "1L as value"))
+    java_metrics._EXTRA.clear()
+
+
 def test_diagnostics_and_unsupported(analysis):
     assert [r.kind for r in analysis.tables["diagnostics"].collect()] == ["PARSE_FAILED"]
     assert sorted(r.kind for r in analysis.tables["unsupported"].collect()) == ["enum", "record"]
