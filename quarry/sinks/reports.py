@@ -82,3 +82,25 @@ def render(report: str, form: str, df: DataFrame):
     if (report, form) not in ADAPTERS:
         raise ValueError(f"no {form} report for {report}")
     return ADAPTERS[report, form](df)
+
+
+def html(findings: DataFrame, k: int = 200) -> str:
+    """A page with the k most severe findings and counts by severity: a summary for readers."""
+    from html import escape
+
+    counts = {r.severity: r["count"] for r in findings.groupBy("severity").count().collect()}
+    top = findings.orderBy(severity_rank(F.col("severity")).desc_nulls_last(), "rule", "entity_id").limit(k).collect()
+    rows = "".join(f"<tr><td>{escape(r.rule)}</td><td>{escape(r.entity_id)}</td><td>{escape(r.severity or '')}</td></tr>" for r in top)
+    summary = ", ".join(f"{escape(s or 'unrated')}: {n}" for s, n in sorted(counts.items(), key=str))
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><p>{summary}</p><table><tr><th>Rule</th><th>Entity</th><th>Severity</th></tr>{rows}</table></body></html>"
+
+
+ADAPTERS["detect", "html"] = html
+
+
+def read_baseline(spark, path: str, policy_digest: str) -> DataFrame:
+    """Accepted findings written with the same policy; those of another policy are refused."""
+    found = spark.read.schema("rule string, entity_id string, severity string, fingerprint string, policy string").json(path)
+    if not found.filter(~F.col("policy").eqNullSafe(F.lit(policy_digest))).isEmpty():
+        raise ValueError("the baseline was written with another policy")
+    return found

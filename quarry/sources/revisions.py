@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import subprocess
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +58,41 @@ def merge_base(repo: str, base: str, head: str) -> str:
 def moves(change_rows: DataFrame) -> DataFrame:
     """(old_path, new_path, seq) of renames and copies, for entity correspondence."""
     return change_rows.filter("old_path is not null and new_path is not null and old_path != new_path").select("old_path", "new_path", "seq")
+
+
+def index(spark: SparkSession, repo: str, suffix: str = ".java") -> DataFrame:
+    """(path, blob) of the staged state; unmerged entries are an error."""
+    rows = []
+    for entry in git(repo, "ls-files", "-s", "-z").split("\0")[:-1]:
+        meta, _, path = entry.partition("\t")
+        mode, blob, stage = meta.split()
+        if stage != "0":
+            raise ValueError(f"{path} isn't merged")
+        if path.endswith(suffix) and mode != "120000":
+            rows.append((path, blob))
+    return spark.createDataFrame(rows, "path string, blob string")
+
+
+def working_tree(spark: SparkSession, repo: str, suffix: str = ".java") -> DataFrame:
+    """(path, sha256) of tracked and untracked files that aren't ignored, without links and files that are gone."""
+    listed = set(git(repo, "ls-files", "-z").split("\0")) | set(git(repo, "ls-files", "-o", "--exclude-standard", "-z").split("\0"))
+    rows = []
+    for path in sorted(p for p in listed if p.endswith(suffix)):
+        file = Path(repo, path)
+        if file.is_file() and not file.is_symlink():
+            rows.append((path, hashlib.sha256(file.read_bytes()).hexdigest()))
+    return spark.createDataFrame(rows, "path string, sha256 string")
+
+
+def classpath(spark: SparkSession, entries: list[str]) -> DataFrame:
+    """(rank, path, kind, sha256) of class path entries: jar, source-dir, class-dir, empty-dir or bad."""
+    rows = []
+    for rank, entry in enumerate(entries):
+        path = Path(entry)
+        kind, digest = "bad", None
+        if path.is_file() and zipfile.is_zipfile(path):
+            kind, digest = "jar", hashlib.sha256(path.read_bytes()).hexdigest()
+        elif path.is_dir():
+            kind = next((k for k, s in (("class-dir", ".class"), ("source-dir", ".java")) if next(path.rglob(f"*{s}"), None)), "empty-dir")
+        rows.append((rank, entry, kind, digest))
+    return spark.createDataFrame(rows, "rank int, path string, kind string, sha256 string")
