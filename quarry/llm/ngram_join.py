@@ -8,8 +8,8 @@ the noise of the rest), and break ties by three different hashes.
 
 1. Sketch: every task counts tokens in ``2**bits`` bins; the sums, 2**bits numbers at any input size, give
    each bin a level.
-2. Profile: one row a document with the hash of its set, its prefixes and five keys from minima of plain
-   hash orders. Documents with equal sets form a class; the smallest doc_id stands for it from here on.
+2. Profile: one row a document with the hash of its set, its prefixes and some keys, each from two minima of
+   plain hash orders. Documents with equal sets form a class; the smallest doc_id stands for it from here on.
 3. Key groups: documents with an equal key are very likely alike. Each group is compared completely, in
    blocks of bounded size inside tasks, and only a spanning forest of its links is sent on. So a large group
    of near copies costs no pair rows; groups with the same members are compared once.
@@ -32,6 +32,7 @@ document in links, so a link of either is a link of both.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ from quarry.llm.common import attach, components, map_batches, small_batches, st
 from quarry.llm.shingles import salted, shingle_sets
 
 SKETCH_BITS, SKETCH_ROW = 20, 4096
-KEYS, BLOCK = 5, 256
+BLOCK = 256
 #: Involved documents whose ids are broadcast at most (about 16 MB); beyond, texts meet ids in a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -86,6 +87,15 @@ def prefix_length(n: int, num: int, den: int, more: int = 1) -> int:
     return n - -(-n * num // den) + more
 
 
+def key_count(num: int, den: int) -> int:
+    """Keys a document, so many that a pair 0.1 below the threshold shares one with a probability of about 0.994.
+
+    Pairs that share a key are decided in step 3, so this keeps near misses within a group of copies out of step 4.
+    """
+    below = max(0.3, num / den - 0.1)
+    return max(1, round(math.log(0.006) / math.log(1 - below * below))) if below < 1 else 1
+
+
 def sized(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast if it has few rows; a larger one is joined by shuffling."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
@@ -98,7 +108,7 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
     p2 and p3 hold 32 bits of each token; tokens that coincide in them lower ``met``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    shift = np.uint64(64 - int(np.log2(len(levels))))
+    shift, keys_each = np.uint64(64 - int(np.log2(len(levels)))), key_count(num, den)
 
     def profile(sets: list[np.ndarray]) -> dict[str, list]:
         sizes = np.array([len(s) for s in sets])
@@ -110,8 +120,8 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
         if len(full):
             tokens = np.concatenate([sets[i] for i in full])
             starts = np.concatenate([[0], np.cumsum(sizes[full])])
-            least = [np.minimum.reduceat(salted(tokens, 10 + j), starts[:-1]) for j in range(2 * KEYS)]
-            keys = np.stack([salted(least[2 * j] + salted(least[2 * j + 1], 40), 50 + j) for j in range(KEYS)], axis=1).view(np.int64)
+            least = [np.minimum.reduceat(salted(tokens, 1000 + j), starts[:-1]) for j in range(2 * keys_each)]
+            keys = np.stack([salted(least[2 * j] + salted(least[2 * j + 1], 40), 2000 + j) for j in range(keys_each)], axis=1).view(np.int64)
             level = shared.value[tokens >> shift].astype(np.uint64) << np.uint64(56)
             orders = [level | salted(tokens, 60 + o) >> np.uint64(8) for o in range(3)]
             for row, i in enumerate(full):
