@@ -3,11 +3,11 @@
 Documents are sets of word shingles. Two sets with a Jaccard similarity of at least num/den must share a
 token among the first n - ceil(n * num / den) + 1 of each, whatever order all documents sort their tokens
 by. Candidates must do so under three orders. All three put rarer tokens first, by a sketch of token
-frequencies over all documents (a fixed number of counters, so common passages stand apart by far more than
+frequencies over all documents (common passages stand apart from it by far more than
 the noise of the rest), and break ties by three different hashes.
 
-1. Sketch: every task counts tokens in ``2**bits`` bins; the sums, 2**bits numbers at any input size, give
-   each bin a level.
+1. Sketch: every task counts tokens in bins, about one for 128 tokens of the corpus and 2**24 at most; the
+   sums give each bin a level, one byte, and the levels are broadcast.
 2. Profile: one row a document with the hash of its set, its prefixes and some keys, each from two minima of
    plain hash orders. Documents with equal sets form a class; the smallest doc_id stands for it from here on.
 3. Key groups: documents with an equal key are very likely alike. Each group is compared completely, in
@@ -44,28 +44,37 @@ from pyspark.sql import types as T
 from quarry.llm.common import attach, components, map_batches, small_batches, stored
 from quarry.llm.shingles import salted, shingle_sets
 
-SKETCH_BITS, SKETCH_ROW = 20, 4096
+#: Bins of the frequency sketch: a power of two with about SKETCH_LOAD tokens in a bin, within bounds, sent in rows of SKETCH_ROW.
+SKETCH_BITS, SKETCH_LOAD, SKETCH_ROW = (14, 24), 128, 4096
 BLOCK = 256
 #: Involved documents whose ids are broadcast at most (about 16 MB); beyond, texts meet ids in a shuffled join.
 BROADCAST_IDS = 1_000_000
 
 
-def token_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch_bits(docs: DataFrame) -> int:
+    """So many bins that their noise, against which frequent tokens must stand out, doesn't grow with the input."""
+    chars = docs.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0
+    low, high = SKETCH_BITS
+    return min(high, max(low, round(math.log2(max(1.0, chars / 6 / SKETCH_LOAD)))))
+
+
+def token_levels(docs: DataFrame, k: int, bits: int | None = None) -> np.ndarray:
     """A level from 0 to 255 for each bin of token hashes, higher where more documents hold the bin's tokens."""
+    bits = bits or sketch_bits(docs)
     shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(1 << bits, np.int64)
+        bins = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for sets in shingle_sets(batch.column("text"), k):
-                bins += np.bincount(np.concatenate(sets) >> shift, minlength=1 << bits)
+                np.add.at(bins, (np.concatenate(sets) >> shift).astype(np.intp), np.uint32(1))
         yield rows({i: part for i, part in enumerate(bins.reshape(-1, SKETCH_ROW)) if part.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[i] = total.get(i, 0) + np.frombuffer(raw, np.int64 if len(raw) == 8 * SKETCH_ROW else np.uint16)
+                total[i] = total.get(i, np.int64(0)) + np.frombuffer(raw, np.int64 if len(raw) == 8 * SKETCH_ROW else np.uint16)
         yield rows(total)
 
     def rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -75,7 +84,7 @@ def token_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray
     small_batches(docs.sparkSession)
     schema = "part int, counts binary"
     summed = docs.select("text").mapInArrow(count, schema).repartition(16, "part").mapInArrow(add, schema).collect()
-    bins = np.zeros((1 << bits) // SKETCH_ROW * SKETCH_ROW, np.int64).reshape(-1, SKETCH_ROW)
+    bins = np.zeros(((1 << bits) // SKETCH_ROW, SKETCH_ROW), np.int64)
     for r in summed:
         bins[r.part] = np.frombuffer(r.counts, np.int64 if len(r.counts) == 8 * SKETCH_ROW else np.uint16)
     bins = bins.ravel()
