@@ -1,26 +1,29 @@
-"""Licence scans: passages compared with licence templates by the Dice coefficient over word bigrams.
+"""Licence scans: windows of words compared with licence templates by the Dice coefficient over word bigrams.
 
-A text is normalised word by word (lower case, letters, digits and inner dots). Passages are its lines, the
-sentences of its lines, runs of neighbouring lines that hold template words, and the whole text. For a
-passage with S bigrams only templates with a size between S*d/(2-d) and S*(2-d)/d can reach a Dice
-coefficient of d, since 2*min/(sum) bounds it; the others are pruned before any comparison. Bigrams count as
-often as they occur; a one-word text has its word as its only bigram.
+A text is normalised word by word (lower case, letters, digits and inner dots), over lines and paragraphs. A
+window is any stretch of its words. One with S bigrams can reach a Dice coefficient of d only with templates
+of a size between S*d/(2-d) and S*(2-d)/d, since 2*min/(sum) bounds it, so a template with T bigrams needs
+T*d/(2-d) of them within T*(2-d)/d neighbouring bigrams of the text; templates without such a stretch are
+pruned before any comparison. Bigrams count as often as they occur.
 
-Lines without a word of the template vocabulary (function words aside) can't match, as every template is
-mostly made of bigrams with such a word, and are passed over. Matches are reported without overlap, better
-scores and longer spans first.
+The best windows begin and end with a bigram of the template, so for every such beginning the best end is
+found by running sums. Matches are reported without overlap, better scores and longer spans first. In a
+notice (a template of at most ``NOTICE`` words) a window must hold all words that name the licence (those of
+``NAMING`` and version numbers) and no others of ``NAMING``, so that no part of another licence's notice matches.
 
 Defined cases: null text is empty and has no match; ties between templates go to the first name; positions
-are code points, ends exclusive; rows are independent.
+are code points, ends exclusive, closing punctuation included; rows are independent.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict, deque
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +63,20 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved."],
 }
-FUNCTION_WORDS = frozenset("a an and any are as at be by can for from in into is it not of on one or that the this to was will with you".split())
+NAMING = frozenset("mit apache gnu lesser library affero gpl lgpl agpl bsd isc mozilla mpl cc nc nd sa attribution noncommercial noderivatives sharealike".split())
+NOTICE = 120
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-SENTENCE = re.compile(r"[^.!?]+(?:[.!?](?![\s]|$)[^.!?]*)*[.!?]*")
+CLOSING = re.compile(r"[.!?]*[\"')\]]*")
 LEAST = 0.85
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length: the only letter that would become two is taken as its first."""
+    return text.replace("\u0130", "i").lower()
+
+
 def normalise(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return WORD.findall(lowered(text))
 
 
 def bigrams(words: list[str]) -> Counter:
@@ -82,23 +91,41 @@ def dice(a: Counter, b: Counter) -> float:
 class Templates:
     def __init__(self, least: float):
         rows = sorted((bigrams(normalise(text)).total(), name, n) for name, texts in TEMPLATES.items() for n, text in enumerate(texts))
+        words = [normalise(TEMPLATES[name][n]) for _, name, n in rows]
         self.least = least
         self.names = [name for _, name, _ in rows]
         self.sizes = [size for size, _, _ in rows]
-        self.grams = [bigrams(normalise(TEMPLATES[name][n])) for _, name, n in rows]
-        self.words = frozenset(w for grams in self.grams for g in grams for w in g) - FUNCTION_WORDS
-        for grams in self.grams:  # more than 1 - least of a template may not consist of function words alone
-            assert sum(n for g, n in grams.items() if not self.words.intersection(g)) < least / 2 * grams.total()
+        self.grams = [bigrams(w) for w in words]
+        self.naming = [None if len(w) > NOTICE else (NAMING.intersection(w), frozenset(x for x in w if x[0].isdigit())) for w in words]
+        self.codes: dict[tuple[str, ...], int] = {}
+        for grams in self.grams:
+            for g in grams:
+                self.codes.setdefault(g, len(self.codes))
+        self.times = np.zeros((len(rows), len(self.codes)), np.uint16)  # how often a template holds a bigram
+        for row, grams in zip(self.times, self.grams, strict=True):
+            for g, n in grams.items():
+                row[self.codes[g]] = n
+        self.holds = self.times.astype(bool)
+        sizes, slack = np.array(self.sizes), 1e-9
+        self.needed = np.maximum(1, np.ceil(sizes * least / (2 - least) - slack)).astype(int)
+        self.reach = np.floor(sizes * (2 - least) / least + slack).astype(int)
+
+    def fits(self, i: int, words: list[str]) -> bool:
+        """Whether the words name the licence of template ``i``, if that is a notice."""
+        if self.naming[i] is None:
+            return True
+        names, numbers = self.naming[i]
+        return NAMING.intersection(words) == names and numbers.issubset(words)
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
-        """The best template of a passage and its coefficient, if at least ``least``."""
+        """The best template of a window and its coefficient, if at least ``least``."""
         grams = bigrams(words)
         size, slack = grams.total(), 1e-9
         if not size:
             return None
         low = bisect_left(self.sizes, size * self.least / (2 - self.least) - slack)
         high = bisect_right(self.sizes, size * (2 - self.least) / self.least + slack)
-        found = [(dice(grams, self.grams[i]), self.names[i]) for i in range(low, high)]
+        found = [(dice(grams, self.grams[i]), self.names[i]) for i in range(low, high) if self.fits(i, words)]
         found = [f for f in found if f[0] >= self.least]
         return min(found, key=lambda f: (-f[0], f[1])) if found else None
 
@@ -108,44 +135,90 @@ def templates(least: float) -> Templates:
     return Templates(least)
 
 
-def passages(text: str, known: Templates) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the passages that hold a template word."""
-    out, run, at, everything = [], [], 0, []
-    lines = text.split("\n")
-    vocabulary = known.words
-
-    def close() -> None:
-        if len(run) > 1:
-            out.append((run[0][0], run[-1][1], [w for _, _, words in run for w in words]))
-        run.clear()
-
-    for line in lines:
-        words = normalise(line)
-        everything.append(words)
-        if not vocabulary.isdisjoint(words):
-            out.append((at, at + len(line), words))
-            run.append(out[-1])
-            if len(parts := [m for m in SENTENCE.finditer(line) if m[0].strip()]) > 1:
-                out += [(at + m.start(), at + m.end(), normalise(m[0])) for m in parts]
-        elif words:
-            close()
-        at += len(line) + 1
-    close()
-    if out and len(lines) > 1:
-        if sum(map(len, everything)) <= 1 + known.sizes[-1] * (2 - known.least) / known.least:
-            out.append((0, len(text), [w for words in everything for w in words]))
+class Hits:
+    """Where a text holds bigrams of one template: the best window from each of them on."""
+
+    def __init__(self, known: Templates, i: int, words: list[str], at: np.ndarray, codes: np.ndarray):
+        self.known, self.i, self.words, self.at = known, i, words, at
+        self.earlier = np.full(len(at), -1)  # a bigram counts in windows that begin after this one
+        seen: dict[int, deque] = defaultdict(deque)
+        for place, (p, c, n) in enumerate(zip(at.tolist(), codes.tolist(), known.times[i][codes].tolist(), strict=True)):
+            if len(seen[c]) == n:
+                self.earlier[place] = seen[c].popleft()
+            seen[c].append(p)
+
+    def starts(self) -> list[int]:
+        """The hits with enough others in reach."""
+        need = self.known.needed[self.i]
+        return np.flatnonzero(self.at[need - 1 :] - self.at[: len(self.at) - need + 1] < self.known.reach[self.i]).tolist()
+
+    def window(self, start: int, limit: int) -> tuple[float, int, int, str, int, int] | None:
+        """The best window that begins with hit ``start`` and has its bigrams before ``limit``, as an entry of the heap."""
+        known, i, begin = self.known, self.i, int(self.at[start])
+        end = int(np.searchsorted(self.at, min(limit, begin + known.reach[i])))
+        if end - start < known.needed[i]:
+            return None
+        sizes = self.at[start:end] - begin + 1
+        common = np.cumsum(self.earlier[start:end] < begin)
+        scores = 2 * common / (sizes + known.sizes[i])
+        for n in np.lexsort((-sizes, -scores)) if known.naming[i] else [len(scores) - 1 - int(np.argmax(scores[::-1]))]:
+            if scores[n] < known.least:
+                return None
+            size = int(sizes[n])
+            if known.fits(i, self.words[begin : begin + size + 1]):
+                return -float(scores[n]), -size, begin, known.names[i], i, start
+        return None
+
+
+def windows(words: list[str], known: Templates) -> list[tuple[int, int]]:
+    """(first word, word after the last) of the windows that match, without overlaps, best first."""
+    codes = known.codes
+    pairs = [(p, c) for p, g in enumerate(zip(words, words[1:], strict=False)) if (c := codes.get(g)) is not None]
+    if not pairs:
+        return []
+    at, held = np.array(pairs).T
+    counts = known.holds @ np.bincount(held, minlength=len(codes))
+    hits: dict[int, Hits] = {}
+    heap = []
+    for i in np.flatnonzero(counts >= known.needed).tolist():
+        own = known.holds[i][held]
+        where, need = at[own], known.needed[i]
+        if (where[need - 1 :] - where[: len(where) - need + 1] < known.reach[i]).any():
+            hits[i] = Hits(known, i, words, where, held[own])
+            heap += [w for s in hits[i].starts() if (w := hits[i].window(s, len(words)))]
+    heapq.heapify(heap)
+    taken: list[tuple[int, int]] = []
+    out = []
+    while heap:
+        _, size, begin, _, i, start = heapq.heappop(heap)
+        end = begin - size + 1
+        after = bisect_left(taken, (begin, begin))
+        if after and taken[after - 1][1] > begin:
+            continue
+        if after < len(taken) and taken[after][0] < end:
+            if w := hits[i].window(start, taken[after][0] - 1):
+                heapq.heappush(heap, w)
+            continue
+        insort(taken, (begin, end))
+        out.append((begin, end))
     return out
 
 
+def passages(text: str, known: Templates) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the windows that match."""
+    low = lowered(text)
+    words = WORD.findall(low)
+    found = windows(words, known)
+    if not found:
+        return []
+    spans = [m.span() for m in WORD.finditer(low)]
+    return [(spans[b][0], CLOSING.match(low, spans[e - 1][1]).end(), words[b:e]) for b, e in found]
+
+
 def matches(text: str, least: float = LEAST) -> list[tuple[int, int, str, float]]:
     """(start, end, licence, coefficient) without overlaps, in order of position."""
     known = templates(least)
-    found = [(s, e, hit[1], hit[0]) for s, e, words in passages(text, known) if (hit := known.best(words))]
-    taken: list[tuple[int, int, str, float]] = []
-    for m in sorted(found, key=lambda m: (-m[3], -(m[1] - m[0]), m[0], m[2])):
-        if all(m[1] <= t[0] or t[1] <= m[0] for t in taken):
-            taken.append(m)
-    return sorted(taken)
+    return sorted((s, e, hit[1], hit[0]) for s, e, words in passages(text, known) if (hit := known.best(words)))
 
 
 def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:

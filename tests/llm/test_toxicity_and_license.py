@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 
@@ -103,3 +104,32 @@ def test_license_scan(spark):
     found = sorted(map(tuple, license_scan.scan(docs).collect()), key=str)
     assert found == sorted([(1, 1, "Proprietary", 1.0, "Proprietary:2:22")] * 2 + [(i, 0, None, None, "") for i in (None, 2, 3)], key=str)
     assert license_scan.scan(docs.limit(0)).collect() == []
+
+
+def test_license_after_prose_and_over_paragraphs():
+    mit = license_scan.TEMPLATES["MIT"][-1]
+    wrapped = textwrap.fill(mit, 60)
+    prose = "There may be other uses for work without the tool, but see only the notes.\nNo more of it is needed here, and all the rest works out of the box.\n"
+    for before, body, after in ((prose * 5, wrapped, ""), (prose * 30, mit.replace(". ", ".\n\n"), prose * 30), (prose.replace("\n", " ") * 5, mit, " " + prose)):
+        (s, e, name, score), = license_scan.matches(before + body + after)
+        assert (s, e, name, score) == (len(before), len(before) + len(body), "MIT", 1.0)
+
+
+def test_license_windows_against_brute_force(monkeypatch):
+    short = {"A": ["one two three four five six", "two one two one two"], "B": ["one two three four six five", "three four"], "MIT": ["one mit two three 2.0"]}
+    monkeypatch.setattr(license_scan, "TEMPLATES", short)
+    known = license_scan.Templates(0.7)
+    pick = random.Random(6)
+    for _ in range(300):
+        words = pick.choices("one two three four five six mit 2.0 x".split(), k=pick.randrange(2, 40))
+        every = [(-hit[0], -(e - b), b, e) for b in range(len(words)) for e in range(b + 2, len(words) + 1) if (hit := known.best(words[b:e]))]
+        plain: list[tuple[int, int]] = []
+        for _, _, b, e in sorted(every):
+            if all(e <= s or t <= b for s, t in plain):
+                plain.append((b, e))
+        assert license_scan.windows(words, known) == plain
+
+
+def test_license_notice_of_another_version_is_none():
+    for text in ("Licensed under CC BY-NC-ND 4.0.", "Licensed under CC BY 3.0.", "Licensed under the Apache License, Version 1.1."):
+        assert license_scan.matches(f"Some prose. {text} More prose.") == []
