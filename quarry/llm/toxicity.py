@@ -1,9 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting takes a bounded sample of labelled documents (``per_class`` of each label, those with the smallest
-hash of doc_id). The vocabulary is the words whose document frequency differs between the labels by more
-than chance (chi-square of at least ``least_chi2``); weights are (1 + ln tf) * idf, scaled to length 1. The
-index keeps postings by term and block of 64 examples with each block's largest weight. A query sums those
+The vocabulary is the words that toxic documents hold more often than chance allows: chi-square of at least
+``least_chi2``, and a binomial tail so small that less than one of all words tried is expected by chance. They
+are counted over all labelled documents that aren't held out, so what a word needs is a number of documents
+and not a share of a sample. Near copies aren't independent, so of documents with the same label whose runs
+of five words have the same least hash one counts. Weights are (1 + ln tf) * idf, scaled to
+length 1. The examples are a bounded sample of those documents (``per_class`` of each label, those with the
+smallest hash of doc_id). The index keeps postings by term and block of 64 examples with each block's largest weight. A query sums those
 into an upper bound for every block, visits blocks in falling order of it, and stops when the k-th best
 cosine found can't be beaten: the k nearest are exact. Votes weigh by closeness; leave-one-out votes of the
 sample, weighted to the labels' true shares, calibrate the score by isotonic regression.
@@ -17,8 +20,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches
+from quarry.llm.common import map_batches, stored
 from quarry.llm.language_id import held_out
 
 TOKEN = re.compile(r"\w+")
 BLOCK, NEIGHBOURS = 64, 15
+#: Words a task holds before it passes their counts on.
+COUNTED = 500_000
 
 
 class BlockMaxIndex:
@@ -112,21 +119,61 @@ def isotonic(points: list[tuple[float, float, float]]) -> tuple[list[float], lis
     return [-math.inf, *starts[1:]], values
 
 
-def train(samples: list[tuple[int, str, int]], toxic_share: float, least_chi2: float = 16.0) -> Model:
-    """A model from (doc_id, text, label) samples; ``toxic_share`` is that of all labelled documents."""
-    n = Counter(y for _, _, y in samples)
+def chi2(a, b, toxic, clean):
+    """Chi-square of a word in ``a`` of ``toxic`` and ``b`` of ``clean`` documents; numbers or columns."""
+    c, d = toxic - a, clean - b
+    return (a * d - b * c) ** 2 * (toxic + clean) / ((a + b) * (c + d) * toxic * clean)
+
+
+def log_tail(a: int, n: int, share: float) -> float:
+    """Logarithm of the chance of ``a`` or more toxic documents among ``n``; 0 where no more than expected."""
+    if a <= n * share:
+        return 0.0
+    first = math.lgamma(n + 1) - math.lgamma(a + 1) - math.lgamma(n - a + 1) + a * math.log(share) + (n - a) * math.log1p(-share)
+    term = total = 1.0
+    for k in range(a, n):
+        term *= (n - k) / (k + 1) * share / (1 - share)
+        total += term
+        if term < 1e-12 * total:
+            break
+    return first + math.log(total)
+
+
+def telling(words: list[tuple[str, int, int]], tried: int, toxic: int, clean: int, least_chi2: float) -> dict[str, int]:
+    """Document frequencies of the vocabulary, of (word, toxic documents, clean documents)."""
+    share, most = toxic / (toxic + clean), -math.log(max(1, tried))
+    return {w: a + b for w, a, b in words if 4 <= a + b < toxic + clean and chi2(a, b, toxic, clean) >= least_chi2 and log_tail(a, a + b, share) < most}
+
+
+def likeness(text: str) -> int:
+    """The least hash of a text's runs of five words, most often equal in near copies."""
+    words = TOKEN.findall(text.lower())
+    runs = map(" ".join, zip(*(words[i:] for i in range(5)), strict=False)) if len(words) > 5 else [" ".join(words)]
+    return min(zlib.crc32(r.encode()) * 0x9E3779B1 & 0xFFFFFFFF for r in runs)
+
+
+def counted_words(samples: list[tuple[int, str, int]], least_chi2: float) -> tuple[int, dict[str, int]]:
+    """How many samples count, and the document frequency of each word of the vocabulary."""
+    kept = {(likeness(text), y): text for _, text, y in sorted(samples, reverse=True)}
+    n = Counter(y for _, y in kept)
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for _, text, y in samples:
+    for (_, y), text in kept.items():
         df[y].update(set(TOKEN.findall(text.lower())))
+    if not (n[0] and n[1]):
+        return len(kept), {}
+    words = [(w, df[1][w], df[0][w]) for w, f in (df[0] + df[1]).items() if f >= 4]
+    return len(kept), telling(words, len(words), n[1], n[0], least_chi2)
+
 
-    def chi2(word: str) -> float:
-        a, b = df[1][word], df[0][word]
-        c, d = n[1] - a, n[0] - b
-        below = (a + b) * (c + d) * (a + c) * (b + d)
-        return (a * d - b * c) ** 2 * (a + b + c + d) / below if below else 0.0
+def train(samples: list[tuple[int, str, int]], toxic_share: float, least_chi2: float = 16.0, counted: tuple[int, dict[str, int]] | None = None) -> Model:
+    """A model from (doc_id, text, label) samples; ``toxic_share`` is that of all labelled documents.
 
-    words = sorted(w for w in df[0].keys() | df[1].keys() if df[0][w] + df[1][w] >= 4 and chi2(w) >= least_chi2)
-    idf = [math.log((1 + len(samples)) / (1 + df[0][w] + df[1][w])) + 1 for w in words]
+    ``counted``: how many documents the words were counted in, and the vocabulary's document frequencies; else both are those of the samples.
+    """
+    n = Counter(y for _, _, y in samples)
+    total, df = counted or counted_words(samples, least_chi2)
+    words = sorted(df)
+    idf = [math.log((1 + total) / (1 + df[w])) + 1 for w in words]
     model = Model({w: i for i, w in enumerate(words)}, idf, BlockMaxIndex([], []), {i: y for i, _, y in samples}, [-math.inf], [0.0], 0.0)
     vectors = [model.vector(text) for _, text, _ in samples]
     model.index = BlockMaxIndex([i for i, _, _ in samples], vectors)
@@ -146,9 +193,51 @@ def train(samples: list[tuple[int, str, int]], toxic_share: float, least_chi2: f
     return model
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic, once for each labelled document that isn't held out."""
+    return labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def vocabulary(docs: DataFrame, labels: DataFrame, least_chi2: float = 16.0) -> tuple[int, dict[str, int]]:
+    """``counted_words`` of all labelled documents; tasks add up their words before any is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                df[y].update(set(TOKEN.findall((text or "").lower())))
+                df[y][""] += 1  # no word is empty: the documents of the label
+            if len(df[0]) + len(df[1]) > COUNTED:
+                yield rows(df)
+        yield rows(df)
+
+    def rows(df: tuple[Counter, Counter]) -> pa.RecordBatch:
+        words = list(df[0].keys() | df[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([df[y][w] for w in words], pa.int64()) for y in (0, 1))], names=["word", "clean", "toxic"])
+        for x in df:
+            x.clear()
+        return out
+
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([likeness(t or "") for t in batch.column("text").to_pylist()], pa.int64())], names=["doc_id", "alike"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    once = map_batches(texts, alike, "doc_id long, alike long").groupBy("doc_id").agg(F.min("alike").alias("alike")).join(labelled(labels), "doc_id")
+    once = stored(once.groupBy("alike", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "toxic-once")
+    texts = texts.join(once, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    summed = stored(texts.select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
+    n = summed.filter("word = ''").first()
+    if not (n and n.clean and n.toxic):
+        return (n.clean + n.toxic if n else 0), {}
+    words = summed.filter("word != '' and toxic + clean >= 4")
+    some = words.filter(F.col("toxic") + F.col("clean") < n.clean + n.toxic)
+    found = some.filter(chi2(F.col("toxic").cast("double"), F.col("clean").cast("double"), float(n.toxic), float(n.clean)) >= least_chi2 - 1e-6)
+    return n.clean + n.toxic, telling([(r.word, r.toxic, r.clean) for r in found.collect()], words.count(), n.toxic, n.clean, least_chi2)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[int, str, int]], float]:
     """At most ``per_class`` labelled documents of each label, held-out ones excluded, and the toxic share of all of those."""
-    named = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    named = labelled(labels)
     counts = {r.toxic: r["count"] for r in named.groupBy("toxic").count().collect()}
     ranked = named.withColumn("nth", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
     chosen = ranked.filter(F.col("nth") <= per_class).select("doc_id", "toxic")
@@ -157,8 +246,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[l
     return [texts[i] for i in sorted(texts)], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 700, **options) -> Model:
-    return train(*training_rows(docs, labels, per_class), **options)
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 700, least_chi2: float = 16.0) -> Model:
+    return train(*training_rows(docs, labels, per_class), least_chi2, vocabulary(docs, labels, least_chi2))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import textwrap
 
@@ -62,6 +63,27 @@ def test_score_over_rows(spark, samples):
     assert toxicity.score(docs.limit(0), labels).collect() == []
 
 
+def test_words_of_a_rare_language_and_of_copies(spark):
+    pick = random.Random(8)
+    rows = [sample(i, i % 4 == 0, pick) for i in range(1600)]
+    rows += [(2000 + i, " ".join([f"palabra{pick.randrange(900)}" for _ in range(30)] + ["horrible"] * (i < 12)), int(i < 12)) for i in range(60)]
+    rows += [(3000 + i, "garden copied phrase " + " ".join(f"filler{j}" for j in range(300)) + f" end{i}", 1) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, per_class=200)
+    held = {r.doc_id for r in docs.filter(toxicity.held_out(docs["doc_id"])).collect()}
+    assert set(model.terms) == {*BAD, "horrible"}
+    assert toxicity.vocabulary(docs, labels) == toxicity.counted_words([r for r in rows if r[0] not in held], 16.0)
+    assert toxicity.vocabulary(docs, labels.limit(0)) == (0, {})
+
+
+def test_log_tail():
+    for a, n, share in ((3, 5, 0.1), (7, 7, 0.3), (50, 80, 0.4)):
+        plain = sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(a, n + 1))
+        assert abs(toxicity.log_tail(a, n, share) - math.log(plain)) < 1e-9
+    assert toxicity.log_tail(1, 10, 0.1) == 0
+
+
 def plain_matches(text, least=license_scan.LEAST):
     """Every template against every passage, without pruning."""
     known = license_scan.templates(least)
