@@ -18,6 +18,7 @@ are code points, ends exclusive, closing punctuation included; rows are independ
 from __future__ import annotations
 
 import heapq
+import pkgutil
 import re
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict, deque
@@ -60,10 +61,20 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
+    "LGPL-2.1": ["SPDX-License-Identifier: LGPL-2.1-only", "Licensed under the GNU Lesser General Public License v2.1."],
+    "LGPL-3.0": ["SPDX-License-Identifier: LGPL-3.0-only", "Licensed under the GNU Lesser General Public License v3.0."],
+    "CC0-1.0": ["SPDX-License-Identifier: CC0-1.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved."],
 }
-NAMING = frozenset("mit apache gnu lesser library affero gpl lgpl agpl bsd isc mozilla mpl cc nc nd sa attribution noncommercial noderivatives sharealike".split())
+#: Full public texts, one file each; read as package data, so that they can be in an archive.
+FULL = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+for _name in FULL:
+    TEMPLATES[_name].append(pkgutil.get_data("quarry.llm", f"licenses/{_name}.txt").decode())
+#: A reservation of rights names no licence: it decides only where nothing else matches.
+RESERVED = "Proprietary"
+NAMING = frozenset("mit apache gnu lesser library affero gpl lgpl agpl bsd isc mozilla mpl cc cc0 nc nd sa attribution noncommercial noderivatives sharealike".split())
 NOTICE = 120
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 CLOSING = re.compile(r"[.!?]*[\"')\]]*")
@@ -228,7 +239,7 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
         rows = []
         for text in batch.column("text").to_pylist():
             found = matches(text or "", least)
-            top = min(found, key=lambda m: (-m[3], m[0]), default=None)
+            top = min(found, key=lambda m: (m[2] == RESERVED, -m[3], m[0]), default=None)
             rows.append((len(found), top and top[2], top and top[3], ",".join(f"{name}:{s}:{e}" for s, e, name, _ in found)))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         types = (pa.int64(), pa.string(), pa.float64(), pa.string())

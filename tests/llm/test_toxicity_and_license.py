@@ -155,3 +155,12 @@ def test_license_windows_against_brute_force(monkeypatch):
 def test_license_notice_of_another_version_is_none():
     for text in ("Licensed under CC BY-NC-ND 4.0.", "Licensed under CC BY 3.0.", "Licensed under the Apache License, Version 1.1."):
         assert license_scan.matches(f"Some prose. {text} More prose.") == []
+
+
+def test_full_license_texts(spark):
+    rows = []
+    for i, name in enumerate(license_scan.FULL):
+        body = license_scan.TEMPLATES[name][-1]
+        rows.append((i, f"Some prose.\n\nCopyright (c) 2020 Someone. All rights reserved.\n\n{body}\nMore prose here."))
+    found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.license for i, r in found.items()} == dict(enumerate(license_scan.FULL))
