@@ -15,7 +15,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     On a cluster the package is shipped with ``--py-files``; the path added here
     only helps workers that see the same checkout.
     """
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
