@@ -45,13 +45,18 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 def kept_lines(docs: DataFrame, **options) -> DataFrame:
     """Columns of ``docs`` plus __lines (count), __gone (count dropped) and __kept (the remaining text)."""
     gone = dropped_positions(docs, **options).withColumnsRenamed({"doc_id": "__doc", "mark": "__mark", "gone": "__at"})
-    joined = docs.withColumn("__own", F.xxhash64(text_of(docs))).join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left")
+    named = docs.filter("doc_id is not null").withColumn("__own", F.xxhash64(text_of(docs)))
+    joined = named.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left")
+    # rows without a doc_id lose nothing; kept out of the join, they are no hot key
+    joined = joined.unionByName(docs.filter("doc_id is null"), allowMissingColumns=True)
     lines = F.split(text_of(joined), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__at"))
+    # as an element of an array the lines are bound to a variable once, where a lambda would split the text for each line
+    left = F.transform(F.array(lines), lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n"))[0]
     return (
         joined.withColumn("__lines", F.size(lines).cast("long"))
         .withColumn("__gone", F.coalesce(F.size("__at"), F.lit(0)).cast("long"))
-        .withColumn("__kept", F.when(F.col("__at").isNull(), text_of(joined)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")))
+        .withColumn("__kept", F.when(F.col("__at").isNull(), text_of(joined)).otherwise(left))
         .drop("__own", "__doc", "__mark", "__at")
     )
 
@@ -72,15 +77,15 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), l AS (
-  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM d
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d
 ), k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), g AS (
   SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
 ), m AS (
-  SELECT k.doc_id, k.line, k.at, coalesce(g.first <> k.doc_id, false) AS gone FROM k LEFT JOIN g ON k.key = g.key
+  SELECT k.doc_id, k.line, k.pos, coalesce(g.first <> k.doc_id, false) AS gone FROM k LEFT JOIN g ON k.key = g.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
