@@ -19,6 +19,7 @@ from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import map_batches
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words in one generation of the encodings that a worker remembers; it keeps two.
 REMEMBERED = 300_000
 #: Code points that the regex module already counts as letters or numbers while the tokenizers library doesn't.
@@ -37,7 +38,15 @@ NOT_YET = (
     "12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 "
     "18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
     "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
-    "2B81E 2CEA2-2CEAD 323B0-33479 "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+#: Combining marks newer than the tokenizers library's tables, which it leaves where they are, and the second half
+#: of a pair (11935 11930) that it doesn't compose.
+LATER_MARKS = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 "
+    "10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 "
+    "119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE "
+    "1E2EC-1E2EF 1E4EC-1E4EF "
 )
 
 FIRST_LATER = chr(int(NOT_YET[:4], 16))
@@ -45,9 +54,18 @@ FIRST_LATER = chr(int(NOT_YET[:4], 16))
 LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
+def character_class(spans: str) -> str:
+    """The inside of a pattern's class for code points and ranges in hexadecimal."""
+    return "".join("-".join(f"\\U{int(end, 16):08x}" for end in span.split("-")) for span in spans.split())
+
+
+#: Around these nothing is reordered or composed, as around any other character of combining class 0 that is part of no pair.
+UNMOVED = regex.compile(f"([{character_class(LATER_MARKS)}])")
+
+
 def split_pattern(pattern: str) -> regex.Pattern:
     """The file's split pattern with the letters and numbers of the tokenizers library's Unicode version."""
-    later = "".join("-".join(f"\\U{int(end, 16):08x}" for end in span.split("-")) for span in NOT_YET.split())
+    later = character_class(NOT_YET)
     for kind in ("L", "N"):
         own = rf"[\p{{{kind}}}--[{later}]]"
         pattern = pattern.replace(rf"[\p{{{kind}}}]", own).replace(rf"\p{{{kind}}}]", f"{own}]").replace(rf"\s\p{{{kind}}}", rf"\s{own}")
@@ -119,7 +137,10 @@ class Bpe:
         """NFC and lower case, each letter by itself. White space only ends words, so it needs no folding."""
         if text.isascii():
             return text.lower()
-        text = unicodedata.normalize("NFC", text)
+        if UNMOVED.search(text):
+            text = "".join([unicodedata.normalize("NFC", part) for part in UNMOVED.split(text)])
+        else:
+            text = unicodedata.normalize("NFC", text)
         if max(text) >= FIRST_LATER:
             text = text.translate(LATER_CAPITALS)
         return "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
