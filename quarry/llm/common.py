@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than these (space, tab, line feed, vertical tab, form feed, carriage return).
@@ -66,6 +66,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * BATCH_ROWS))
 
 
+def chosen_ids(rows: DataFrame, by: str, per: int) -> list[tuple]:
+    """(doc_id, value): for each value of ``by`` (nulls left out) the ``per`` doc_ids with the smallest hash, each once.
+
+    Only rows whose hash lies below a limit are ranked, set by the value's count so that about twice as many pass;
+    where repeated ids leave too few, the limit is raised for that value. So what is ranked grows neither with the
+    rows nor with the tasks. The result has at most ``per`` entries for each value.
+    """
+    spark = rows.sparkSession
+    hashed = rows.select("doc_id", F.col(by).alias("__value"), F.xxhash64("doc_id").alias("__hash")).filter("doc_id is not null and __value is not null")
+    share = {r[0]: (2 * per + 64) / r[1] for r in hashed.groupBy("__value").count().collect()}
+    kind = dict(hashed.dtypes)["__value"]
+    found: list[tuple] = []
+    while share:
+        limits = spark.createDataFrame([(v, min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63))) for v, s in share.items()], f"__value {kind}, __limit long")
+        few = hashed.join(limits, "__value").filter("__hash <= __limit").select("__value", "__hash", "doc_id").distinct()
+        nth = F.row_number().over(Window.partitionBy("__value").orderBy("__hash", "doc_id"))
+        got: dict = {v: [] for v in share}
+        for r in few.withColumn("nth", nth).filter(F.col("nth") <= per).collect():
+            got[r["__value"]].append(r.doc_id)
+        found += [(i, v) for v, ids in got.items() if len(ids) >= per or share[v] >= 1 for i in ids]
+        share = {v: 4 * s for v, s in share.items() if len(got[v]) < per and s < 1}
+    return sorted(found, key=lambda f: (str(f[1]), f[0]))
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left-join ``groups`` (unique in ``key``, with its row count in ``size``) to ``rows`` without a hot task.
 

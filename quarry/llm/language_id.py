@@ -3,30 +3,36 @@
 The network reads windows of ``WINDOW`` bytes: filters of several widths over one-hot bytes (so a filter is a
 table of weights by position and byte), rectification, the maximum over the window, and a softmax. It is
 trained on a bounded sample of labelled documents: for each language the ``per_lang`` documents with the
-smallest hash of doc_id, a third at random windows each epoch. Prediction cuts every whole text into windows,
+smallest hash of doc_id, read at random windows each epoch. A training text of more than ``most`` bytes gives
+windows spread evenly over all of it, cut on the executors. Prediction cuts every whole text into windows,
 runs them in batches, and averages the probabilities, each window weighing as many bytes as it holds.
 
-At prediction the tables of two neighbouring bytes are summed beforehand, so a position costs five lookups.
+At prediction the tables of two neighbouring bytes are summed beforehand, so a position costs five lookups. The
+last layer adds up in 64 bits and in a fixed order, so a text's score doesn't depend on what else is in its batch.
 
 Defined cases: text without a letter (null and empty ones too) is ``und`` with score 0; with no labelled
-document at all every text is ``und``; languages are the labels seen in the sample, in code point order; ties
-go to the first. Rows are independent of each other.
+document at all every text is ``und``, and ``accepted`` then keeps all texts with a letter; languages are the
+labels seen in the sample, in code point order; ties go to the first; of rows that share a doc_id and a label
+one is trained on. Rows are independent of each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches
+from quarry.llm.common import chosen_ids, map_batches
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
+#: Bytes that one training text gives at most.
+MOST = 1 << 14
 LETTER = regex.compile(r"\p{L}")
 BATCH = 256
 
@@ -45,6 +51,14 @@ class Network:
         both = [(t[2][0], t[2][1]), (t[3][0], t[3][1]), (t[4][0], t[4][1]), (t[4][2], t[4][3])]
         return [np.ascontiguousarray((a[:, None, :] + b[None, :, :]).reshape(65536, FILTERS)) for a, b in both]
 
+    def __getstate__(self) -> dict:
+        """Without what is made from the tables when it is first needed."""
+        return {k: v for k, v in self.__dict__.items() if k != "probabilities"}
+
+    @cached_property
+    def probabilities(self) -> Callable[[np.ndarray], np.ndarray]:
+        return self.predictor()
+
     def predictor(self) -> Callable[[np.ndarray], np.ndarray]:
         """windows (n, WINDOW) uint8 -> probabilities (n, languages)."""
         two, three, four, four_end = self.pairs()
@@ -60,11 +74,19 @@ class Network:
             sums = four.take(code[:, :-2], axis=0)
             sums += four_end.take(code[:, 2:], axis=0)
             best[:, 2 * FILTERS :] = sums.max(axis=1)
-            return softmax(np.maximum(best + self.bias, 0) @ self.out + self.out_bias)
+            return softmax(ordered_product(np.maximum(best + self.bias, 0), self.out) + self.out_bias)
 
         return probabilities
 
 
+def ordered_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` in 64 bits, added up column by column: a row's result doesn't depend on how many rows there are."""
+    total = np.zeros((len(a), b.shape[1]))
+    for column, weights in zip(np.ascontiguousarray(a.T, np.float64), b.astype(np.float64), strict=True):
+        total += column[:, None] * weights
+    return total
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -76,7 +98,15 @@ def to_windows(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw.ljust(n * WINDOW, b"\x00"), np.uint8).reshape(n, WINDOW)
 
 
-def train(samples: list[tuple[str, str]], epochs: int = 12, per_text: int = 6, seed: int = 5, rate: float = 0.08) -> Network:
+def excerpt(raw: bytes, most: int = MOST) -> bytes:
+    """All of a text of at most ``most`` bytes, else windows spread evenly over the whole of it."""
+    if len(raw) <= most:
+        return raw
+    n = max(2, most // WINDOW)
+    return b"".join([raw[i * (len(raw) - WINDOW) // (n - 1) :][:WINDOW] for i in range(n)])
+
+
+def train(samples: list[tuple[str | bytes, str]], epochs: int = 12, per_text: int = 6, seed: int = 5, rate: float = 0.08) -> Network:
     """A network from (text, language) samples, by Adagrad over windows at random places; same samples, same network."""
     languages = sorted({lang for _, lang in samples})
     rng = np.random.default_rng(seed)
@@ -85,7 +115,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 12, per_text: int = 6, s
     bias, out, out_bias = np.zeros(width, np.float32), rng.normal(0, 0.2, (width, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     params = [*tables.values(), bias, out, out_bias]
     past = [np.full_like(p, 1e-3) for p in params]
-    raws = [text.encode() for text, _ in samples]
+    raws = [text.encode() if isinstance(text, str) else text for text, _ in samples]
     labels = np.array([languages.index(lang) for _, lang in samples], dtype=np.int64)
     share = np.bincount(labels, minlength=len(languages)) / max(1, len(labels))
     for _ in range(epochs if samples else 0):
@@ -133,17 +163,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
-    """At most ``per_lang`` labelled documents of each language that aren't held out: those with the smallest hash.
+def training_rows(docs: DataFrame, per_lang: int, most: int = MOST) -> list[tuple[bytes, str]]:
+    """Excerpts of at most ``per_lang`` labelled documents of each language that aren't held out: those with the smallest hash.
 
-    The ranking carries ids only and keeps the first rows of each task before it shuffles; then one more scan
-    fetches the texts of the few that were chosen.
+    The choice reads ids and labels only; one more scan cuts the excerpts of the few that were chosen.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = labelled.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("nth"))
-    chosen = ranked.filter(F.col("nth") <= per_lang).select("doc_id").distinct()
-    rows = labelled.join(F.broadcast(chosen), "doc_id").select("text", "lang", "doc_id").filter("text is not null").collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))]
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("doc_id", F.col("doc_id").cast("long"))
+    chosen = docs.sparkSession.createDataFrame(chosen_ids(labelled, "lang", per_lang), "doc_id long, lang string")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [excerpt(t.encode(), most) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(raw, pa.binary())], names=["doc_id", "lang", "raw"])
+
+    few = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    rows = map_batches(few, cut, "doc_id long, lang string, raw binary").groupBy("doc_id", "lang").agg(F.min("raw").alias("raw")).collect()
+    return [(bytes(r.raw), r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang))]
 
 
 def fit(docs: DataFrame, per_lang: int = 300, **options) -> Network:
@@ -162,16 +196,10 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-_PREDICTORS: dict[int, Callable] = {}
-
-
 def classify(network: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
     if not network.languages:
         return ["und"] * len(texts), [0.0] * len(texts)
-    if id(network) not in _PREDICTORS:
-        _PREDICTORS.clear()
-        _PREDICTORS[id(network)] = network.predictor()
-    probabilities = _PREDICTORS[id(network)]
+    probabilities = network.probabilities
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     sums = np.zeros((len(texts), len(network.languages)))
     lengths = np.zeros(len(texts))
@@ -199,7 +227,7 @@ def classify(network: Network, texts: list[str | None]) -> tuple[list[str], list
     flush()
     for i in np.flatnonzero(lengths):
         mean = sums[i] / lengths[i]
-        langs[i], scores[i] = network.languages[int(mean.argmax())], float(min(1.0, mean.max()))
+        langs[i], scores[i] = network.languages[int(mean.argmax())], round(float(min(1.0, mean.max())), 12)
     return langs, scores
 
 
@@ -209,11 +237,17 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.35, **options) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or scores below ``least``."""
+    """``docs`` without the rows whose language is undetermined or scores below ``least``.
+
+    Where nothing could be learned, as no row has a label, only texts without a letter go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = classify(shared.value, batch.column("text").to_pylist())
-        return batch.filter(pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores, strict=True)]))
+        texts = batch.column("text").to_pylist()
+        if not shared.value.languages:
+            return batch.filter(pa.array([bool(t and LETTER.search(t)) for t in texts], pa.bool_()))
+        langs, scores = classify(shared.value, texts)
+        return batch.filter(pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
