@@ -1,19 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is the words that toxic documents hold more often than chance allows: chi-square of at least
-``least_chi2``, and a binomial tail so small that less than one of all words tried is expected by chance. They
-are counted over all labelled documents that aren't held out, so what a word needs is a number of documents
-and not a share of a sample. Near copies aren't independent, so of documents with the same label whose runs
-of five words have the same least hash one counts. Weights are (1 + ln tf) * idf, scaled to
-length 1. The examples are a bounded sample of those documents (``per_class`` of each label, those with the
-smallest hash of doc_id). The index keeps postings by term and block of 64 examples with each block's largest weight. A query sums those
-into an upper bound for every block, visits blocks in falling order of it, and stops when the k-th best
-cosine found can't be beaten: the k nearest are exact. Votes weigh by closeness; leave-one-out votes of the
-sample, weighted to the labels' true shares, calibrate the score by isotonic regression.
-
-Defined cases: null text is empty; a text without a vocabulary word scores the toxic share of such examples;
-labels other than 0 and 1 are left out; of several labels for one document the largest counts; without any
-labelled example every score is 0; ties between neighbours go to the smaller doc_id. Rows are independent.
+The vocabulary is every word of the examples, none is cut. A word's weight in a text is (1 + ln tf) * idf * relevance,
+vectors scaled to length 1. Relevance is ``base`` for a word that toxic documents hold no more often than chance
+allows, and rises towards 1 + ``base`` with the evidence: 1 - exp(-x), where x is how far the binomial tail of
+its count lies below one expected by chance among all words tried. With plain TF-IDF (relevance 1) the words of
+a topic outweigh the few that make a text toxic; the README has the figures. Document frequencies are counted over
+all labelled documents that aren't held out. Near copies aren't independent, so of documents with the same label
+whose runs of five words have the same least hash one counts.
+
+The examples are a bounded sample of those documents (``per_class`` of each label, those with the smallest hash
+of doc_id, texts of more than ``most`` bytes by windows spread evenly over the whole). The index keeps postings
+by block of 64 examples and each term's largest weight in a block. A query sums those into an upper bound for
+every block, visits blocks in falling order of it, and stops when the k-th best cosine found can't be beaten: the k
+nearest are exact. Votes weigh by closeness; leave-one-out votes of the sample, weighted to the labels' true
+shares, calibrate the score by isotonic regression.
+
+Defined cases: null text is empty; a text without a word of the vocabulary scores the toxic share of such examples,
+or of all where there are none; labels other than 0 and 1 are left out; of several labels for one document the
+largest counts, of several texts for one doc_id the greatest; without any labelled example every score is 0; ties
+between neighbours go to the smaller doc_id. Rows are independent.
 """
 
 from __future__ import annotations
@@ -25,19 +30,22 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, stored
-from quarry.llm.language_id import held_out
+from quarry.llm.common import chosen_ids, map_batches, stored
+from quarry.llm.language_id import excerpt, held_out
 
 TOKEN = re.compile(r"\w+")
 BLOCK, NEIGHBOURS = 64, 15
 #: Words a task holds before it passes their counts on.
 COUNTED = 500_000
+#: Bytes of an example's text at most, documents a word must be in before chance is asked, and the relevance of ordinary words.
+MOST, LEAST_DOCS, BASE = 1 << 20, 4, 0.05
 
 
 class BlockMaxIndex:
@@ -48,37 +56,52 @@ class BlockMaxIndex:
         order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t), default=-1), ids[i]))
         self.ids = [ids[i] for i in order]
         self.blocks = -(-len(ids) // BLOCK)
-        lists: dict[int, dict[int, list[tuple[int, float]]]] = {}
-        for place, i in enumerate(order):
-            for term, weight in vectors[i].items():
-                lists.setdefault(term, {}).setdefault(place // BLOCK, []).append((place % BLOCK, weight))
-        self.postings = {t: {b: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for b, x in by.items()} for t, by in lists.items()}
-        self.largest = {t: (np.array(list(by)), np.array([w.max() for _, w in by.values()])) for t, by in self.postings.items()}
+        postings = [(place, t, w) for place, i in enumerate(order) for t, w in vectors[i].items()]
+        self.places, self.terms = (np.array([p[c] for p in postings], np.int64) for c in (0, 1))
+        self.weights = np.array([p[2] for p in postings])
+        self.size = int(self.terms.max()) + 1 if postings else 0
+
+    def __getstate__(self) -> dict:
+        """The postings alone; what a query reads is laid out where it is needed."""
+        return {k: v for k, v in self.__dict__.items() if k != "layout"}
+
+    @cached_property
+    def layout(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Largest weights (term, block), and for each block the row of every term in its table (row 0: absent)."""
+        most, rows, tables = np.zeros((self.size, self.blocks)), [], []
+        np.maximum.at(most, (self.terms, self.places // BLOCK), self.weights)
+        for b in range(self.blocks):
+            own = np.flatnonzero(self.places // BLOCK == b)
+            held, row = np.unique(self.terms[own], return_inverse=True)
+            table = np.zeros((len(held) + 1, BLOCK))
+            table[row + 1, self.places[own] % BLOCK] = self.weights[own]
+            where = np.zeros(self.size, np.int32)
+            where[held] = np.arange(1, len(held) + 1)
+            rows.append(where)
+            tables.append(table)
+        return most, rows, tables
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The k best (cosine, doc_id) above 0, best first, smaller doc_id first among equals; ``without``: an id left out."""
-        bound = np.zeros(self.blocks)
-        terms = [t for t in query if t in self.largest]
-        for t in terms:
-            where, most = self.largest[t]
-            bound[where] += query[t] * most
+        most, rows, tables = self.layout
+        terms = np.fromiter((t for t in query if t < self.size), np.int64)
+        weights = np.fromiter((w for t, w in query.items() if t < self.size), np.float64)
+        bound = weights @ most[terms]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
+        for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t in terms:
-                if (found := self.postings[t].get(b)) is not None:
-                    score[found[0]] += query[t] * found[1]
-            rows = [(round(float(score[p]), 12), self.ids[b * BLOCK + p]) for p in np.flatnonzero(score)]
-            best = sorted([*best, *(r for r in rows if r[1] != without)], key=lambda r: (-r[0], r[1]))[:k]
+            score = weights @ tables[b][rows[b][terms]]
+            floor = best[-1][0] - 1e-9 if len(best) == k else 0.0
+            found = [(round(float(score[p]), 12), self.ids[b * BLOCK + p]) for p in np.flatnonzero(score > floor).tolist()]
+            best = sorted([*best, *(r for r in found if r[1] != without)], key=lambda r: (-r[0], r[1]))[:k]
         return best
 
 
 @dataclass
 class Model:
     terms: dict[str, int]
-    idf: list[float]
+    weights: list[float]  # idf * relevance of each term
     index: BlockMaxIndex
     labels: dict[int, int]
     steps: list[float]  # votes at which the calibrated score steps up
@@ -86,9 +109,10 @@ class Model:
     empty_score: float
 
     def vector(self, text: str) -> dict[int, float]:
-        terms = self.terms
-        counts = Counter([terms[w] for w in TOKEN.findall(text.lower()) if w in terms])
-        weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
+        known = self.terms.get
+        counts = Counter(map(known, TOKEN.findall(text.lower())))
+        counts.pop(None, None)
+        weights = {t: (1 + math.log(n)) * self.weights[t] for t, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in weights.values()))
         return {t: w / norm for t, w in weights.items()}
 
@@ -119,12 +143,6 @@ def isotonic(points: list[tuple[float, float, float]]) -> tuple[list[float], lis
     return [-math.inf, *starts[1:]], values
 
 
-def chi2(a, b, toxic, clean):
-    """Chi-square of a word in ``a`` of ``toxic`` and ``b`` of ``clean`` documents; numbers or columns."""
-    c, d = toxic - a, clean - b
-    return (a * d - b * c) ** 2 * (toxic + clean) / ((a + b) * (c + d) * toxic * clean)
-
-
 def log_tail(a: int, n: int, share: float) -> float:
     """Logarithm of the chance of ``a`` or more toxic documents among ``n``; 0 where no more than expected."""
     if a <= n * share:
@@ -139,10 +157,24 @@ def log_tail(a: int, n: int, share: float) -> float:
     return first + math.log(total)
 
 
-def telling(words: list[tuple[str, int, int]], tried: int, toxic: int, clean: int, least_chi2: float) -> dict[str, int]:
-    """Document frequencies of the vocabulary, of (word, toxic documents, clean documents)."""
-    share, most = toxic / (toxic + clean), -math.log(max(1, tried))
-    return {w: a + b for w, a, b in words if 4 <= a + b < toxic + clean and chi2(a, b, toxic, clean) >= least_chi2 and log_tail(a, a + b, share) < most}
+@dataclass
+class Counted:
+    """How many documents of each label hold words: all documents counted, words tried, and (toxic, clean) of some words."""
+
+    toxic: int
+    clean: int
+    tried: int
+    words: dict[str, tuple[int, int]]
+
+    def relevance(self, word: str, base: float) -> float:
+        a, b = self.words.get(word, (0, 0))
+        if a + b < LEAST_DOCS or not (self.toxic and self.clean):
+            return base
+        beyond = -log_tail(a, a + b, self.toxic / (self.toxic + self.clean)) - math.log(max(1, self.tried))
+        return base + (1 - math.exp(-beyond) if beyond > 0 else 0.0)
+
+    def idf(self, word: str) -> float:
+        return math.log((1 + self.toxic + self.clean) / (1 + sum(self.words.get(word, (0, 0))))) + 1
 
 
 def likeness(text: str) -> int:
@@ -152,29 +184,27 @@ def likeness(text: str) -> int:
     return min(zlib.crc32(r.encode()) * 0x9E3779B1 & 0xFFFFFFFF for r in runs)
 
 
-def counted_words(samples: list[tuple[int, str, int]], least_chi2: float) -> tuple[int, dict[str, int]]:
-    """How many samples count, and the document frequency of each word of the vocabulary."""
+def counted_words(samples: list[tuple[int, str, int]]) -> Counted:
+    """Counts over (doc_id, text, label) samples."""
     kept = {(likeness(text), y): text for _, text, y in sorted(samples, reverse=True)}
     n = Counter(y for _, y in kept)
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for (_, y), text in kept.items():
         df[y].update(set(TOKEN.findall(text.lower())))
-    if not (n[0] and n[1]):
-        return len(kept), {}
-    words = [(w, df[1][w], df[0][w]) for w, f in (df[0] + df[1]).items() if f >= 4]
-    return len(kept), telling(words, len(words), n[1], n[0], least_chi2)
+    words = {w: (df[1][w], df[0][w]) for w in df[0] | df[1]}
+    return Counted(n[1], n[0], sum(a + b >= LEAST_DOCS for a, b in words.values()), words)
 
 
-def train(samples: list[tuple[int, str, int]], toxic_share: float, least_chi2: float = 16.0, counted: tuple[int, dict[str, int]] | None = None) -> Model:
+def train(samples: list[tuple[int, str, int]], toxic_share: float, base: float = BASE, counted: Counted | None = None) -> Model:
     """A model from (doc_id, text, label) samples; ``toxic_share`` is that of all labelled documents.
 
-    ``counted``: how many documents the words were counted in, and the vocabulary's document frequencies; else both are those of the samples.
+    ``counted``: the words' counts over all labelled documents; else those of the samples.
     """
     n = Counter(y for _, _, y in samples)
-    total, df = counted or counted_words(samples, least_chi2)
-    words = sorted(df)
-    idf = [math.log((1 + total) / (1 + df[w])) + 1 for w in words]
-    model = Model({w: i for i, w in enumerate(words)}, idf, BlockMaxIndex([], []), {i: y for i, _, y in samples}, [-math.inf], [0.0], 0.0)
+    counted = counted or counted_words(samples)
+    words = sorted({w for _, text, _ in samples for w in TOKEN.findall(text.lower())})
+    weights = [counted.idf(w) * counted.relevance(w, base) for w in words]
+    model = Model({w: i for i, w in enumerate(words)}, weights, BlockMaxIndex([], []), {i: y for i, _, y in samples}, [-math.inf], [0.0], 0.0)
     vectors = [model.vector(text) for _, text, _ in samples]
     model.index = BlockMaxIndex([i for i, _, _ in samples], vectors)
     weight = {y: share / n[y] if n[y] else 0.0 for y, share in ((1, toxic_share), (0, 1 - toxic_share))}
@@ -189,17 +219,17 @@ def train(samples: list[tuple[int, str, int]], toxic_share: float, least_chi2: f
         small = 0.5 / max(1, len(samples))  # keeps scores off 0 and 1
         model.steps, model.scores = isotonic(votes)
         model.scores = [small + s * (1 - 2 * small) for s in model.scores]
-    model.empty_score = none[1] / sum(none) if sum(none) else 0.0
+    model.empty_score = none[1] / sum(none) if sum(none) else toxic_share if samples else 0.0
     return model
 
 
 def labelled(labels: DataFrame) -> DataFrame:
     """doc_id and toxic, once for each labelled document that isn't held out."""
-    return labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def vocabulary(docs: DataFrame, labels: DataFrame, least_chi2: float = 16.0) -> tuple[int, dict[str, int]]:
-    """``counted_words`` of all labelled documents; tasks add up their words before any is shuffled."""
+def vocabulary(docs: DataFrame, labels: DataFrame, words: list[str]) -> Counted:
+    """``counted_words`` over all labelled documents, with the counts of ``words``; tasks add up their words before any is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: tuple[Counter, Counter] = (Counter(), Counter())
@@ -212,42 +242,46 @@ def vocabulary(docs: DataFrame, labels: DataFrame, least_chi2: float = 16.0) ->
         yield rows(df)
 
     def rows(df: tuple[Counter, Counter]) -> pa.RecordBatch:
-        words = list(df[0].keys() | df[1].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([df[y][w] for w in words], pa.int64()) for y in (0, 1))], names=["word", "clean", "toxic"])
+        held = list(df[0].keys() | df[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array([df[y][w] for w in held], pa.int64()) for y in (0, 1))], names=["word", "clean", "toxic"])
         for x in df:
             x.clear()
         return out
 
     def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([likeness(t or "") for t in batch.column("text").to_pylist()], pa.int64())], names=["doc_id", "alike"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([likeness(t or "") for t in batch.column("text").to_pylist()], pa.int64())], names=["doc_id", "toxic", "alike"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    once = map_batches(texts, alike, "doc_id long, alike long").groupBy("doc_id").agg(F.min("alike").alias("alike")).join(labelled(labels), "doc_id")
-    once = stored(once.groupBy("alike", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "toxic-once")
-    texts = texts.join(once, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    named = labelled(labels)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").join(named, "doc_id")
+    seen = map_batches(texts, alike, "doc_id long, toxic int, alike long").groupBy("doc_id", "toxic").agg(F.min("alike").alias("alike"))
+    once = stored(seen.groupBy("alike", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "toxic-once")
+    texts = texts.join(once, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     summed = stored(texts.select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
-    n = summed.filter("word = ''").first()
-    if not (n and n.clean and n.toxic):
-        return (n.clean + n.toxic if n else 0), {}
-    words = summed.filter("word != '' and toxic + clean >= 4")
-    some = words.filter(F.col("toxic") + F.col("clean") < n.clean + n.toxic)
-    found = some.filter(chi2(F.col("toxic").cast("double"), F.col("clean").cast("double"), float(n.toxic), float(n.clean)) >= least_chi2 - 1e-6)
-    return n.clean + n.toxic, telling([(r.word, r.toxic, r.clean) for r in found.collect()], words.count(), n.toxic, n.clean, least_chi2)
+    wanted = docs.sparkSession.createDataFrame([(w,) for w in ["", *words]], "word string")
+    found = {r.word: (r.toxic, r.clean) for r in summed.join(wanted, "word").collect()}
+    toxic, clean = found.pop("", (0, 0))
+    return Counted(toxic, clean, summed.filter(f"word != '' and toxic + clean >= {LEAST_DOCS}").count(), found)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[int, str, int]], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, most: int = MOST) -> tuple[list[tuple[int, str, int]], float]:
     """At most ``per_class`` labelled documents of each label, held-out ones excluded, and the toxic share of all of those."""
     named = labelled(labels)
     counts = {r.toxic: r["count"] for r in named.groupBy("toxic").count().collect()}
-    ranked = named.withColumn("nth", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.filter(F.col("nth") <= per_class).select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    texts = {r.doc_id: (r.doc_id, r.text or "", r.toxic) for r in sorted(rows, key=lambda r: r.text or "")}
-    return [texts[i] for i in sorted(texts)], counts.get(1, 0) / max(1, sum(counts.values()))
+    chosen = docs.sparkSession.createDataFrame(chosen_ids(named, "toxic", per_class), "doc_id long, toxic int")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [excerpt((t or "").encode(), most).decode(errors="ignore") for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(raw, pa.string())], names=["doc_id", "toxic", "text"])
+
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = map_batches(few, cut, "doc_id long, toxic int, text string").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).collect()
+    return sorted((r.doc_id, r.text, r.toxic) for r in rows), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 700, least_chi2: float = 16.0) -> Model:
-    return train(*training_rows(docs, labels, per_class), least_chi2, vocabulary(docs, labels, least_chi2))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 700, base: float = BASE) -> Model:
+    samples, share = training_rows(docs, labels, per_class)
+    words = sorted({w for _, text, _ in samples for w in TOKEN.findall(text.lower())})
+    return train(samples, share, base, vocabulary(docs, labels, words))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

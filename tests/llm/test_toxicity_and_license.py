@@ -38,12 +38,25 @@ def test_index_is_exact():
 
 def test_held_out_accuracy_and_evidence(samples):
     model = toxicity.train(samples, 0.1)
-    assert set(model.terms) == set(BAD)
+    assert set(model.terms) == {*BAD, *GOOD}
+    counted = toxicity.counted_words(samples)
+    assert {w for w in model.terms if counted.relevance(w, 0.05) > 0.5} == set(BAD)
     pick = random.Random(3)
     for i in range(200):
         _, text, toxic = sample(i, i % 2, pick)
         score, near = model.score(text)
-        assert 0 <= score <= 1 and (score >= 0.5) == bool(toxic) and bool(near) == bool(toxic)
+        assert 0 <= score <= 1 and (score >= 0.5) == bool(toxic) and len(near) == toxicity.NEIGHBOURS
+        assert near == plain_neighbours(model, text)
+
+
+def plain_neighbours(model, text):
+    """The nearest examples by every cosine."""
+    query = model.vector(text)
+    vectors: dict = {i: {} for i in model.labels}
+    for place, t, w in zip(model.index.places.tolist(), model.index.terms.tolist(), model.index.weights.tolist(), strict=True):
+        vectors[model.index.ids[place]][t] = w
+    every = [(round(sum(w * v.get(t, 0.0) for t, w in query.items()), 12), i) for i, v in vectors.items()]
+    return sorted((r for r in every if r[0] > 0), key=lambda r: (-r[0], r[1]))[: toxicity.NEIGHBOURS]
 
 
 def test_isotonic():
@@ -70,11 +83,13 @@ def test_words_of_a_rare_language_and_of_copies(spark):
     rows += [(3000 + i, "garden copied phrase " + " ".join(f"filler{j}" for j in range(300)) + f" end{i}", 1) for i in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, per_class=200)
     held = {r.doc_id for r in docs.filter(toxicity.held_out(docs["doc_id"])).collect()}
-    assert set(model.terms) == {*BAD, "horrible"}
-    assert toxicity.vocabulary(docs, labels) == toxicity.counted_words([r for r in rows if r[0] not in held], 16.0)
-    assert toxicity.vocabulary(docs, labels.limit(0)) == (0, {})
+    counted = toxicity.counted_words([r for r in rows if r[0] not in held])
+    assert {w for w in counted.words if counted.relevance(w, 0.05) > 0.5} == {*BAD, "horrible"}
+    assert toxicity.vocabulary(docs, labels, sorted(counted.words)) == counted
+    assert toxicity.vocabulary(docs, labels.limit(0), ["garden"]) == toxicity.Counted(0, 0, 0, {})
+    model = toxicity.fit(docs, labels, per_class=200)
+    assert {*BAD, *GOOD, "horrible"} < set(model.terms)  # all words of the examples
 
 
 def test_log_tail():
