@@ -40,14 +40,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it survives lost executors and is computed once."""
+#: Tables written by ``stored`` and not yet removed, oldest first.
+STORED: list[str] = []
+
+
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: it survives lost executors and is computed once.
+
+    ``by``: columns by whose values the table is divided into folders, so that readers of one value read no other.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Removes the tables written after the first ``since`` ones, but for those in ``keep``; what reads them must be done."""
+    for path in [p for p in STORED[since:] if p not in keep]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        STORED.remove(path)
+
+
 def map_batches(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``function`` over Arrow batches of few rows, whatever the session's batch size is."""
 
