@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS = 256
 #: A key is hot from this share of the rows on; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 5000
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 64 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +108,26 @@ def chosen_ids(rows: DataFrame, by: str, per: int) -> list[tuple]:
     return sorted(found, key=lambda f: (str(f[1]), f[0]))
 
 
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` to be broadcast if its rows, ``row_bytes`` each at most, fit into BROADCAST_BYTES; else it is joined by shuffling."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``df`` with sums over all rows before each one in ``order``, which no two rows may share.
+
+    Rows are dealt by ranges of the order and stored; the ranges' sums, a few rows, give where each range
+    starts, and a window within the range gives the rest. No task holds all rows. ``df`` may not be empty of columns.
+    """
+    dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), name)
+    totals = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("__range"), *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()))
+    return placed.join(F.broadcast(starts), "__range").select(*df.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left-join ``groups`` (unique in ``key``, with its row count in ``size``) to ``rows`` without a hot task.
 
