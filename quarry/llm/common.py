@@ -98,7 +98,7 @@ def chosen_ids(rows: DataFrame, by: str, per: int) -> list[tuple]:
     found: list[tuple] = []
     while share:
         limits = spark.createDataFrame([(v, min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63))) for v, s in share.items()], f"__value {kind}, __limit long")
-        few = hashed.join(limits, "__value").filter("__hash <= __limit").select("__value", "__hash", "doc_id").distinct()
+        few = hashed.join(F.broadcast(limits) if len(share) <= 100_000 else limits, "__value").filter("__hash <= __limit").select("__value", "__hash", "doc_id").distinct()
         nth = F.row_number().over(Window.partitionBy("__value").orderBy("__hash", "doc_id"))
         got: dict = {v: [] for v in share}
         for r in few.withColumn("nth", nth).filter(F.col("nth") <= per).collect():

@@ -11,8 +11,8 @@ whose runs of five words have the same least hash one counts.
 The examples are a bounded sample of those documents (``per_class`` of each label, those with the smallest hash
 of doc_id, texts of more than ``most`` bytes by windows spread evenly over the whole). The index keeps postings
 by block of 64 examples and each term's largest weight in a block. A query sums those into an upper bound for
-every block, visits blocks in falling order of it, and stops when the k-th best cosine found can't be beaten: the k
-nearest are exact. Votes weigh by closeness; leave-one-out votes of the sample, weighted to the labels' true
+every block, visits the FIRST blocks by it, and then those alone whose bound the k-th best cosine found doesn't beat:
+the k nearest are exact. Votes weigh by closeness; leave-one-out votes of the sample, weighted to the labels' true
 shares, calibrate the score by isotonic regression.
 
 Defined cases: null text is empty; a text without a word of the vocabulary scores the toxic share of such examples,
@@ -42,6 +42,8 @@ from quarry.llm.language_id import excerpt, held_out
 
 TOKEN = re.compile(r"\w+")
 BLOCK, NEIGHBOURS = 64, 15
+#: Blocks that a query visits before it leaves others out.
+FIRST = 4
 #: Words a task holds before it passes their counts on.
 COUNTED = 500_000
 #: Bytes of an example's text at most, documents a word must be in before chance is asked, and the relevance of ordinary words.
@@ -66,63 +68,82 @@ class BlockMaxIndex:
         return {k: v for k, v in self.__dict__.items() if k != "layout"}
 
     @cached_property
-    def layout(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Largest weights (term, block), and for each block the row of every term in its table (row 0: absent)."""
-        most, rows, tables = np.zeros((self.size, self.blocks)), [], []
+    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Largest weights (term, block); where the postings of each term and block begin; their places and weights."""
+        most = np.zeros((self.size, self.blocks))
         np.maximum.at(most, (self.terms, self.places // BLOCK), self.weights)
-        for b in range(self.blocks):
-            own = np.flatnonzero(self.places // BLOCK == b)
-            held, row = np.unique(self.terms[own], return_inverse=True)
-            table = np.zeros((len(held) + 1, BLOCK))
-            table[row + 1, self.places[own] % BLOCK] = self.weights[own]
-            where = np.zeros(self.size, np.int32)
-            where[held] = np.arange(1, len(held) + 1)
-            rows.append(where)
-            tables.append(table)
-        return most, rows, tables
+        cells = self.terms * self.blocks + self.places // BLOCK
+        order = np.argsort(cells, kind="stable")
+        starts = np.searchsorted(cells[order], np.arange(self.size * self.blocks + 1))
+        return most, starts.astype(np.int32), self.places[order], self.weights[order]
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The cosine of every example in ``blocks``, by place; 0 for the others."""
+        _, starts, places, held = self.layout
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        begin = starts[cells]
+        sizes = starts[cells + 1] - begin
+        at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(places[at], np.repeat(np.repeat(weights, len(blocks)), sizes) * held[at], minlength=len(self.ids))
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The k best (cosine, doc_id) above 0, best first, smaller doc_id first among equals; ``without``: an id left out."""
-        most, rows, tables = self.layout
-        terms = np.fromiter((t for t in query if t < self.size), np.int64)
-        weights = np.fromiter((w for t, w in query.items() if t < self.size), np.float64)
-        bound = weights @ most[terms]
+        return self.find(np.fromiter(query.keys(), np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query)), k, without)
+
+    def find(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int]]:
+        """``nearest`` for a query in two arrays."""
+        known = terms < self.size
+        terms, weights = terms[known], weights[known]
+        bound = weights @ self.layout[0][terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break
-            score = weights @ tables[b][rows[b][terms]]
+        for part in (order[:FIRST], order[FIRST:]):
             floor = best[-1][0] - 1e-9 if len(best) == k else 0.0
-            found = [(round(float(score[p]), 12), self.ids[b * BLOCK + p]) for p in np.flatnonzero(score > floor).tolist()]
-            best = sorted([*best, *(r for r in found if r[1] != without)], key=lambda r: (-r[0], r[1]))[:k]
+            part = part[bound[part] >= floor]
+            if len(part):
+                score = self.scores(terms, weights, part)
+                found = [(round(float(score[p]), 12), self.ids[p]) for p in np.flatnonzero(score > max(floor, kth_largest(score, k + 1) - 1e-9)).tolist()]
+                best = sorted([*best, *(r for r in found if r[1] != without)], key=lambda r: (-r[0], r[1]))[:k]
         return best
 
 
+def kth_largest(values: np.ndarray, k: int) -> float:
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else 0.0
+
+
 @dataclass
 class Model:
     terms: dict[str, int]
-    weights: list[float]  # idf * relevance of each term
+    weights: np.ndarray  # idf * relevance of each term
     index: BlockMaxIndex
     labels: dict[int, int]
     steps: list[float]  # votes at which the calibrated score steps up
     scores: list[float]
     empty_score: float
 
-    def vector(self, text: str) -> dict[int, float]:
+    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's vector: terms, and weights scaled to length 1."""
+        counts = Counter(TOKEN.findall(text.lower()))
         known = self.terms.get
-        counts = Counter(map(known, TOKEN.findall(text.lower())))
-        counts.pop(None, None)
-        weights = {t: (1 + math.log(n)) * self.weights[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / norm for t, w in weights.items()}
-
-    def vote(self, vector: dict[int, float], without: int | None = None) -> tuple[float | None, list[tuple[float, int]]]:
-        near = self.index.nearest(vector, NEIGHBOURS, without) if vector else []
+        terms = np.array([known(w, -1) for w in counts], np.int64)
+        held = terms >= 0
+        terms, times = terms[held], np.fromiter(counts.values(), np.float64, len(counts))[held]
+        weights = (1 + np.log(times)) * self.weights[terms]
+        return terms, weights / math.sqrt(weights @ weights) if len(weights) else weights
+
+    def vector(self, text: str) -> dict[int, float]:
+        terms, weights = self.arrays(text)
+        return dict(zip(terms.tolist(), weights.tolist(), strict=True))
+
+    def vote(self, text: str, without: int | None = None) -> tuple[float | None, list[tuple[float, int]]]:
+        terms, weights = self.arrays(text)
+        near = self.index.find(terms, weights, NEIGHBOURS, without) if len(terms) else []
         total = sum(c * c for c, _ in near)
         return (sum(c * c * self.labels[i] for c, i in near) / total if total else None), near
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        vote, near = self.vote(self.vector(text))
+        vote, near = self.vote(text)
         return (self.empty_score if vote is None else self.scores[bisect_right(self.steps, vote) - 1]), near
 
 
@@ -203,14 +224,13 @@ def train(samples: list[tuple[int, str, int]], toxic_share: float, base: float =
     n = Counter(y for _, _, y in samples)
     counted = counted or counted_words(samples)
     words = sorted({w for _, text, _ in samples for w in TOKEN.findall(text.lower())})
-    weights = [counted.idf(w) * counted.relevance(w, base) for w in words]
+    weights = np.array([counted.idf(w) * counted.relevance(w, base) for w in words])
     model = Model({w: i for i, w in enumerate(words)}, weights, BlockMaxIndex([], []), {i: y for i, _, y in samples}, [-math.inf], [0.0], 0.0)
-    vectors = [model.vector(text) for _, text, _ in samples]
-    model.index = BlockMaxIndex([i for i, _, _ in samples], vectors)
+    model.index = BlockMaxIndex([i for i, _, _ in samples], [model.vector(text) for _, text, _ in samples])
     weight = {y: share / n[y] if n[y] else 0.0 for y, share in ((1, toxic_share), (0, 1 - toxic_share))}
     votes, none = [], [0.0, 0.0]
-    for (i, _, y), vector in zip(samples, vectors, strict=True):
-        vote, _ = model.vote(vector, without=i)
+    for i, text, y in samples:
+        vote, _ = model.vote(text, without=i)
         if vote is None:
             none[y] += weight[y]
         else:
