@@ -1,7 +1,11 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
 Part of the training-data operators (``quarry.llm``). Stage results and intermediate tables go to the folder
-in ``spark.checkpoint.dir``.
+in ``spark.checkpoint.dir``; those that are no longer read are removed after each stage.
+
+Defined cases: an empty table gives an empty one; without any labelled row only documents without a letter go in
+the first stage; rows without a doc_id count as documents, of which one for each group stays; columns beyond
+those of documents are carried through all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, language_id, line_dedup, mixing, ngram_join
-from quarry.llm.common import documents, stored
+from quarry.llm.common import STORED, documents, remove_stored, stored
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +28,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return ngram_join.representatives(docs, k=5, num=80, den=100)
+    return ngram_join.representatives(docs, k=5, num=80, den=100, keep_unnamed=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, since = documents(spark, sf_dir), len(STORED)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_stored(spark, since, keep=(STORED[-1],))
     return STAGES[-1][1](spark, docs, sf_dir)
