@@ -2,9 +2,10 @@
 
 Patterns (leftmost, not overlapping within a kind; matches that are too short are dropped): ``assign``,
 ``access`` and ``hex``. Besides them every run of 20 or more characters of ``RUN`` that no pattern span
-touches and that mixes at least two of lower case, capitals and digits is scored by two character Markov
-models, one of random strings and one of ordinary identifiers; if the log-likelihood ratio per transition
-is above ``threshold`` the run is a span of kind ``random``. Both models are trained from labelled samples.
+touches is scored by two character Markov models, one of random strings and one of ordinary identifiers and
+words. If the log-likelihood ratio per transition is above ``threshold`` the run is a span of kind ``random``; else
+its best stretch of 20 or more characters is one, if that is above it, and so on left and right of that: a key
+behind a long name or path is found. Both models are trained from labelled samples.
 
 Defined cases: null text is empty; empty texts have no spans; positions are code points, ends exclusive;
 rows are independent, so null or repeated doc_ids and extra columns change nothing.
@@ -17,6 +18,7 @@ import math
 import random
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is maximal, so shorter ones can be passed over at once
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIXED = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
+LEAST = 20
 
 #: Ordinary parts of identifiers, for the labelled samples.
 PARTS = """get set is has make find load store read write open close user account order item price total count index value
@@ -38,14 +40,15 @@ name type list map table column field query result response request client serve
 service config option default update delete insert create remove parse format encode decode process thread worker queue
 stream buffer cache token time date event message error status state code path file image page text line word number
 http https www com org net html json xml api data test main util common core base model view control version release
-nicht auch eine werden haben sein pour dans avec cette sont para como esta pero desde""".split()
+nicht auch eine werden haben sein freiheit einheit wirklichkeit gesellschaft verpflichtung satzung versetzt kopf
+empfehlung entscheidung schliesslich tatsache schifffahrt dampf wirtschaft rechts schutz pour dans avec cette sont para como esta pero desde""".split()
 
 
 def labelled_samples(seed: int = 11, each: int = 4000) -> list[tuple[str, int]]:
     """(string, 1 if random else 0): random strings over usual alphabets, and identifiers put together from PARTS."""
     pick = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
-    alphabets = [letters + letters.upper() + "0123456789" + extra for extra in ("", "+/", "_-")] + [letters.upper() + "0123456789", letters + "0123456789"]
+    alphabets = [letters + letters.upper() + "0123456789" + extra for extra in ("", "+/", "_-")] + [letters.upper() + "0123456789", letters + "0123456789", letters, letters.upper()]
     samples = [("".join(pick.choices(pick.choice(alphabets), k=pick.randrange(20, 65))), 1) for _ in range(each)]
     for _ in range(each):
         words = pick.choices(PARTS, k=pick.randrange(3, 8))
@@ -57,6 +60,7 @@ def labelled_samples(seed: int = 11, each: int = 4000) -> list[tuple[str, int]]:
         else:
             text = ("_", "-", "/")[style - 2].join(w.upper() if style == 2 and pick.random() < 0.5 else w for w in words)
         samples.append((text + (str(pick.randrange(3000)) if pick.random() < 0.3 else ""), 0))
+    samples += [(c * n, 0) for c in "=-_/+" for n in range(20, 60)]  # ruled lines
     return samples
 
 
@@ -77,13 +81,35 @@ class Markov:
     def codes(text: str) -> list[int]:
         return [min(max(ord(c) - 32, 0), 94) for c in text]
 
+    def ratios(self, text: str) -> list[float]:
+        """Log-likelihood ratio of each transition, the first from the start: above 0 random is likelier."""
+        codes = self.codes(text)
+        ratio = self.ratio
+        return [ratio[a][b] for a, b in zip([95, *codes], codes, strict=False)]
+
     def score(self, text: str) -> float:
-        """Log-likelihood ratio per transition: above 0 random is likelier."""
-        total, before = 0.0, 95
-        for c in self.codes(text):
-            total += self.ratio[before][c]
-            before = c
-        return total / max(1, len(text))
+        """Log-likelihood ratio per transition."""
+        return sum(self.ratios(text)) / max(1, len(text))
+
+
+def stretches(ratios: list[float], threshold: float, least: int = LEAST) -> list[tuple[int, int]]:
+    """Places of the stretches of ``least`` or more whose mean is above ``threshold``: all of it, or the best sum first."""
+    if len(ratios) < least:
+        return []
+    if sum(ratios) > threshold * len(ratios):
+        return [(0, len(ratios))]
+    sums = list(accumulate((r - threshold for r in ratios), initial=0.0))
+    best, lowest = (0.0, 0, 0), 0
+    for end in range(least, len(sums)):
+        begin = end - least
+        if sums[begin] < sums[lowest]:
+            lowest = begin
+        if sums[end] - sums[lowest] > best[0]:
+            best = (sums[end] - sums[lowest], lowest, end)
+    if best[0] <= 1e-9:
+        return []
+    _, s, e = best
+    return [*stretches(ratios[:s], threshold, least), (s, e), *((e + a, e + b) for a, b in stretches(ratios[e:], threshold, least))]
 
 
 @lru_cache(maxsize=4)
@@ -105,11 +131,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def model_spans(text: str, base: list[tuple[int, int, int]], model: Markov, threshold: float) -> list[tuple[int, int, int]]:
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if sum(bool(p.search(run)) for p in MIXED) < 2 or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if model.score(run) > threshold:
-            found.append((m.start(), 3, m.end()))
+        if not any(s < m.end() and m.start() < e for s, _, e in base):
+            found += [(m.start() + s, 3, m.start() + e) for s, e in stretches(model.ratios(m[0]), threshold)]
     return found
 
 
