@@ -64,6 +64,12 @@ TEMPLATES = {
     "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
     "LGPL-2.1": ["SPDX-License-Identifier: LGPL-2.1-only", "Licensed under the GNU Lesser General Public License v2.1."],
     "LGPL-3.0": ["SPDX-License-Identifier: LGPL-3.0-only", "Licensed under the GNU Lesser General Public License v3.0."],
+    "AGPL-3.0": [
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "Licensed under the GNU Affero General Public License v3.0.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ],
+    "EPL-2.0": ["SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
     "CC0-1.0": ["SPDX-License-Identifier: CC0-1.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved."],
@@ -74,7 +80,7 @@ for _name in FULL:
     TEMPLATES[_name].append(pkgutil.get_data("quarry.llm", f"licenses/{_name}.txt").decode())
 #: A reservation of rights names no licence: it decides only where nothing else matches.
 RESERVED = "Proprietary"
-NAMING = frozenset("mit apache gnu lesser library affero gpl lgpl agpl bsd isc mozilla mpl cc cc0 nc nd sa attribution noncommercial noderivatives sharealike".split())
+NAMING = frozenset("mit apache gnu lesser library affero gpl lgpl agpl bsd isc mozilla mpl eclipse epl cc cc0 nc nd sa attribution noncommercial noderivatives sharealike".split())
 NOTICE = 120
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 CLOSING = re.compile(r"[.!?]*[\"')\]]*")

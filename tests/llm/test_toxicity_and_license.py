@@ -179,3 +179,9 @@ def test_full_license_texts(spark):
         rows.append((i, f"Some prose.\n\nCopyright (c) 2020 Someone. All rights reserved.\n\n{body}\nMore prose here."))
     found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.license for i, r in found.items()} == dict(enumerate(license_scan.FULL))
+
+
+def test_notices_of_affero_and_eclipse():
+    for name in ("AGPL-3.0", "EPL-2.0"):
+        for text in license_scan.TEMPLATES[name]:
+            assert [m[2] for m in license_scan.matches(f"Some prose before it.\n{text}\nAnd after.")] == [name]
