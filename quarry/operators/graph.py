@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder all executors share, so that loops keep no lineage and survive lost executors."""
+def kept(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a table in the folder all executors share, so that loops keep no lineage and survive lost executors.
+
+    ``by``: columns by whose values the table is divided into folders.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -19,10 +22,16 @@ def kept(df: DataFrame) -> DataFrame:
         folder = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def signature(df: DataFrame) -> tuple:
+    """Row count and two sums of row hashes: equal for equal sets of rows, and for no others but by chance (2**-95)."""
+    h = F.xxhash64(*df.columns)
+    return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(F.xxhash64(F.lit(1), *df.columns), F.lit(1 << 31)))).first())
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) for every dst reachable from src in one step or more; on a cycle a node reaches itself.
 
@@ -44,6 +53,17 @@ def closure(edges: DataFrame) -> DataFrame:
     return out
 
 
+def levels(edges: DataFrame) -> DataFrame:
+    """(src, dst, distance): every dst reachable from src with the least number of steps; rounds grow with that number."""
+    base = kept(edges.select("src", "dst").distinct())
+    seen = new = kept(base.withColumn("distance", F.lit(1).cast("long")))
+    while not new.isEmpty():
+        step = new.select("src", F.col("dst").alias("via"), "distance").join(base.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst", (F.col("distance") + 1).alias("distance")).distinct()
+        new = kept(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti"))
+        seen = seen.unionByName(new)
+    return seen
+
+
 def depth(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """(node, depth): 1 without a parent, else the parent's depth + 1; a parent that is no node counts as depth 1.
 
@@ -74,6 +94,6 @@ def grouped_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         stepped = labels.join(near, ["grp", "node"], "left").select("grp", "node", F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = stepped.select("grp", F.col("node").alias("component"), F.col("component").alias("far"))
         after = kept(stepped.join(jump, ["grp", "component"]).select("grp", "node", F.col("far").alias("component")))
-        if after.exceptAll(labels).isEmpty():
-            return after
-        labels = after
+        before, labels = signature(labels), after
+        if signature(labels) == before:
+            return labels

@@ -36,6 +36,21 @@ def z_score(df: DataFrame, value: str, integral: bool) -> DataFrame:
     return spread.select("average", "deviation", "largest", score.alias("score"))
 
 
+def z_scores(df: DataFrame, values: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """One row with the score of each of ``values`` (column, integral), as ``z_score`` has it; 0 where no value is defined.
+
+    All of them take two passes over ``df`` together: sums and maxima, then squares around the averages.
+    """
+    firsts = [c for n, (v, integral) in values.items() for c in ((truncated_ratio(F.sum(v), F.count(v)) if integral else F.try_divide(F.sum(v), F.count(v))).alias(f"{n}_average"), F.max(v).alias(f"{n}_largest"))]
+    averages = df.agg(*firsts)
+    squares = [F.sqrt(F.try_divide(F.sum(F.pow(v.cast("double") - F.col(f"{n}_average"), 2)), F.count(v))).alias(n) for n, (v, _) in values.items()]
+    names = averages.columns
+    spread = df.crossJoin(F.broadcast(averages)).groupBy(*names).agg(*squares)
+    score = lambda n: F.when(F.col(n) == 0, 0.0).otherwise((F.col(f"{n}_largest") - F.col(f"{n}_average")) / F.col(n))
+    found = spread.select(*(score(n).alias(n) for n in values))
+    return found.agg(*(F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in values))
+
+
 def coupling(edges: DataFrame, packages: DataFrame) -> DataFrame:
     """package, ce, ca, instability from dependency edges (src, dst) between different packages."""
     foreign = edges.filter("src != dst").distinct()

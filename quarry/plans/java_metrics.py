@@ -1,7 +1,7 @@
 """Metrics of Java sources as long rows (level, entity_id, parent_id, code, value, is_integral, state).
 
-Everything is a DataFrame expression over the tables of ``quarry.sources.java_source``. Inheritance is
-resolved by simple name within the project; a name that isn't in the project is external.
+Everything is a DataFrame expression over the tables of ``quarry.sources.java_source``; what needs names resolved
+by scope and imports comes from ``java_symbols``.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import formulas
-from quarry.operators import graph
+from quarry.functions.value import truncated_ratio
+from quarry.operators import graph, mood, rollup
 from quarry.operators.rollup import long_form
 from quarry.operators.tokens import halstead_counts
-from quarry.plans import java_names
+from quarry.plans import java_names, java_symbols
 from quarry.sources import java_source
 
 METHOD = ["path", "package", "class", "member"]
@@ -27,6 +28,7 @@ HALSTEAD = {"volume": "HVL", "difficulty": "HD", "length": "HL", "effort": "HEF"
 class Analysis:
     tables: dict[str, DataFrame]
     metrics: DataFrame
+    symbols: java_symbols.Symbols
 
     def level(self, name: str) -> DataFrame:
         return self.metrics.filter(F.col("level") == name)
@@ -95,17 +97,6 @@ def _cohesion(t: dict[str, DataFrame]) -> DataFrame:
     return n.join(pairs, [*keys, "package"], "left").select(*keys, "package", ratio.alias("TCC"))
 
 
-def inheritance(class_rows: DataFrame) -> DataFrame:
-    """(class, DIT, NOC). A superclass outside the project counts one level."""
-    named = class_rows.select("class", "name", F.get("supers", 0).alias("super"))
-    targets = named.groupBy(F.col("name").alias("super")).agg(F.min("class").alias("target"))
-    edges = graph.kept(named.filter("super is not null").join(targets, "super", "left").select(F.col("class").alias("node"), F.coalesce("target", F.concat(F.lit("external:"), F.col("super"))).alias("parent")).filter("node != parent"))
-    nodes = graph.kept(named.select(F.col("class").alias("node")).distinct())
-    depth = graph.depth(nodes, edges)
-    children = edges.groupBy(F.col("parent").alias("class")).agg(F.count("*").alias("NOC"))
-    return depth.select(F.col("node").alias("class"), F.col("depth").alias("DIT")).join(children, "class", "left").na.fill(0, ["NOC"])
-
-
 def dependencies(t: dict[str, DataFrame]) -> DataFrame:
     """(src, dst) between packages, from imports: a single type's package, or the whole of a wildcard import."""
     one = F.regexp_replace("name", r"\.[^.]+$", "")
@@ -131,10 +122,41 @@ def packages(class_rows: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("PAMI", formulas.maintainability(F.col("PAHVL"), F.col("cc").cast("double"), F.col("PLOC").cast("double")))
 
 
-METHOD_CODES = ["CC", "CCM", "CND", "LND", "MND", "NOL", "LOC", "NOPM", "NOAV", "CINT", *HALSTEAD.values(), "MMI"]
-CLASS_CODES = ["WMC", "NOM", "NOO", "NOOM", "NOAM", "NOAC", "NOPA", "NCSS", "TCC", "CLOC", "CCC", *(f"C{c}" for c in HALSTEAD.values()), "CMI", "DIT", "NOC", "NOA", "SIZE2", "DAC", "CBO", "RFC", "MPC", "WOC", "LCOM"]
-PACKAGE_CODES = ["Ce", "Ca", "I", "A", "D", "PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC", *(f"PA{c}" for c in HALSTEAD.values()), "PAMI"]
-PROJECT_CODES = ["PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC", *(f"PR{c}" for c in HALSTEAD.values()), "PRMI"]
+#: Counts of Kotlin declarations, of which Java sources have none.
+KOTLIN = ["PNOKOBJ", "PNOKCO", "PNOKDC", "PNOKSC"]
+QUALITIES = {"reusability": "Reusability", "flexibility": "Flexibility", "understandability": "Understandability", "functionality": "Functionality", "extendibility": "Extendibility", "effectiveness": "Effectiveness"}
+METHOD_CODES = ["CC", "CCM", "CND", "LND", "MND", "NOL", "LOC", "NOPM", "NOAV", "CINT", "CDISP", *HALSTEAD.values(), "MMI"]
+CLASS_CODES = ["WMC", "NOM", "NOO", "NOOM", "NOAM", "NOAC", "NOPA", "NCSS", "TCC", "CLOC", "CCC", *(f"C{c}" for c in HALSTEAD.values()), "CMI", "DIT", "NOC", "NOA", "SIZE2", "DAC", "CBO", "RFC", "MPC", "WOC", "LCOM", "ATFD", "LAA", "FDP"]
+PACKAGE_CODES = ["Ce", "Ca", "I", "A", "D", "PNOCC", "PNOAC", "PNOI", "PNOSC", *KOTLIN, "PNCSS", "PLOC", *(f"PA{c}" for c in HALSTEAD.values()), "PAMI"]
+PROJECT_CODES = ["PNOCC", "PNOAC", "PNOI", "PNOSC", *KOTLIN, "PNCSS", "PLOC", *(f"PR{c}" for c in HALSTEAD.values()), "PRMI", "MHF", "AHF", "MIF", "AIF", "CF", "PF", *QUALITIES.values()]
+
+
+def design_factors(symbols: java_symbols.Symbols) -> DataFrame:
+    """One row: MHF, AHF, MIF, AIF, CF and PF."""
+    classes, methods_, fields = map(graph.kept, symbols.declared())
+    lines = symbols.lines.select(F.col("src").alias("class"), F.col("dst").alias("ancestor")).join(classes.select(F.col("class").alias("ancestor")), "ancestor", "left_semi")
+    lines = graph.kept(lines.select("class", "ancestor"))
+    parts = {
+        "MHF": mood.hiding(methods_, classes, lines), "AHF": mood.hiding(fields, classes, lines), "MIF": mood.method_inheritance(methods_, classes, lines),
+        "AIF": mood.field_inheritance(fields, classes, lines), "CF": mood.coupling_factor(symbols.couplings(), classes), "PF": mood.polymorphism(methods_, classes, lines),
+    }
+    row = None
+    for code, part in parts.items():
+        one = part.select(F.col("factor").alias(code))
+        row = one if row is None else row.crossJoin(F.broadcast(one))  # one row each
+    return row
+
+
+def qualities(class_rows: DataFrame, package_rows: DataFrame) -> DataFrame:
+    """One row with the six design attributes."""
+    by_class = rollup.z_scores(class_rows, {"lcom": (F.col("LCOM"), True), "messaging": (F.col("NOM"), True), "composition": (F.col("NOA"), True), "polymorphism": (F.col("NOOM"), True), "complexity": (F.col("WMC"), True), "hierarchies": (F.col("DIT"), True)})
+    by_package = rollup.z_scores(package_rows, {"coupling": (F.col("Ce"), True), "size": (F.col("PNOCC"), True), "abstraction": (F.col("A"), False)})
+    whole = truncated_ratio(F.col("NOOM"), F.col("NOM") * 100)
+    inherited = class_rows.agg(F.coalesce(F.sum(F.when(F.col("NOM") > 0, whole)), F.lit(0)).cast("double").alias("inheritance"))
+    row = by_class.crossJoin(F.broadcast(by_package)).crossJoin(F.broadcast(inherited))  # one row each
+    cohesion = F.when(F.col("lcom") == 0, 0.0).otherwise(1 / F.col("lcom"))
+    z = {n: F.col(n) for n in ("messaging", "composition", "polymorphism", "complexity", "hierarchies", "coupling", "size", "abstraction", "inheritance")} | {"cohesion": cohesion, "encapsulation": F.lit(1.0)}
+    return row.select(*(v.alias(QUALITIES[n]) for n, v in formulas.design_quality(z).items()))
 
 
 _EXTRA: list[tuple[str, str, Callable[[dict[str, DataFrame]], DataFrame]]] = []
@@ -148,17 +170,33 @@ def register_metric(code: str, level: str, build: Callable[[dict[str, DataFrame]
 
 
 def analyze(spark: SparkSession, roots: list[str], exclude: tuple[str, ...] = ()) -> Analysis:
-    """All metrics of the sources below ``roots``. Undefined maintainability is a row; unmeasured token metrics are none."""
-    t = {name: graph.kept(df) for name, df in java_source.tables(java_source.files(spark, roots, exclude)).items()}
-    method_rows = graph.kept(methods(t).join(java_names.method_metrics(t), METHOD, "left").withColumn("entity", F.concat_ws("#", "class", "member")))
+    """All metrics of the sources below ``roots``. Undefined values are rows without a value; unmeasured token metrics are none.
+
+    Roots that can't be read are diagnostics.
+    """
+    _, problems = java_source.root_problems(roots)
+    return measure(spark, java_source.files(spark, roots, exclude), problems)
+
+
+def measure(spark: SparkSession, sources: DataFrame, problems: list[tuple[str, str, str]] = ()) -> Analysis:
+    """``analyze`` of source rows (path, content)."""
+    t = java_source.tables(sources)
+    if problems:
+        t["diagnostics"] = t["diagnostics"].unionByName(spark.createDataFrame(problems, "path string, kind string, name string"), allowMissingColumns=True)
+    symbols = java_symbols.Symbols(t)
+    zeros = [F.lit(0).cast("long").alias(c) for c in KOTLIN]
+    method_rows = methods(t).join(java_names.method_metrics(t), METHOD, "left").join(symbols.method_metrics(), METHOD, "left").withColumn("CDISP", F.when(F.col("member_kind") == "method", F.coalesce("CDISP", F.lit(0))))
+    method_rows = graph.kept(method_rows.withColumn("entity", F.concat_ws("#", "class", "member")))
     class_rows = classes(t, method_rows)
-    class_rows = graph.kept(class_rows.join(inheritance(class_rows), "class", "left").join(java_names.class_metrics(t), ["path", "package", "class"], "left"))
-    package_rows = graph.kept(packages(class_rows, t))
+    class_rows = class_rows.join(symbols.inheritance(), "class", "left").join(java_names.class_metrics(t), ["path", "package", "class"], "left").join(symbols.class_metrics(), "class", "left")
+    class_rows = graph.kept(class_rows)
+    package_rows = graph.kept(packages(class_rows, t).select("*", *zeros))
     project = package_rows.agg(*(F.sum(c).alias(c) for c in ("PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC")), F.sum("cc").alias("cc"), *(F.coalesce(F.sum(f"PA{c}"), F.lit(0.0)).alias(f"PR{c}") for c in HALSTEAD.values()))
-    project = project.withColumn("PRMI", formulas.project_maintainability(F.col("PRHVL"), F.col("cc"), F.col("PLOC"))).select("*", F.lit("project").alias("entity"), F.lit(None).cast("string").alias("parent"))
+    project = project.withColumn("PRMI", formulas.project_maintainability(F.col("PRHVL"), F.col("cc"), F.col("PLOC"))).select("*", *zeros, F.lit("project").alias("entity"), F.lit(None).cast("string").alias("parent"))
+    project = graph.kept(project.crossJoin(F.broadcast(design_factors(symbols))).crossJoin(F.broadcast(qualities(class_rows, package_rows))))  # one row each
     rows = long_form(method_rows, "method", "entity", "class", METHOD_CODES).unionByName(long_form(class_rows, "class", "class", "package", CLASS_CODES))
     rows = rows.unionByName(long_form(package_rows.withColumn("parent", F.lit("project")), "package", "package", "parent", PACKAGE_CODES)).unionByName(long_form(project, "project", "entity", "parent", PROJECT_CODES))
     for code, level, build in _EXTRA:
         rows = rows.unionByName(long_form(build(t).withColumnRenamed("value", code), level, "entity_id", "parent_id", [code]))
-    undefined = F.col("code").isin("MMI", "CMI", "PAMI", "RFC")
-    return Analysis(t, rows.filter(F.col("value").isNotNull() | undefined))
+    undefined = F.col("code").isin("MMI", "CMI", "PAMI", "RFC", "LAA", "FDP")
+    return Analysis(t, rows.filter(F.col("value").isNotNull() | undefined), symbols)

@@ -1,7 +1,6 @@
 """Class and method metrics of Java that need names resolved.
 
-Names are resolved by simple name inside the project: fields along the chain of superclasses, types by their
-last part. Where the definition needs the type of an arbitrary expression, nothing is measured rather than
+Fields are looked up along the chain of superclasses, used types by the last part of their names. Where the definition needs the type of an arbitrary expression, nothing is measured rather than
 guessed; ``coverage`` says which share of names was resolved.
 """
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import graph
+from quarry.plans import java_symbols
 
 CLASS = ["path", "package", "class"]
 METHOD = [*CLASS, "member"]
@@ -30,9 +30,8 @@ def own_fields(t: dict[str, DataFrame]) -> DataFrame:
 
 def ancestors(t: dict[str, DataFrame]) -> DataFrame:
     """(class, ancestor) along superclasses inside the project."""
-    named = t["classes"].select("class", "name", F.get("supers", 0).alias("super"))
-    target = named.groupBy(F.col("name").alias("super")).agg(F.min("class").alias("dst"))
-    edges = named.join(target, "super").select(F.col("class").alias("src"), "dst").filter("src != dst")
+    clauses = java_symbols.supertypes(t, java_symbols.project_types(t)).filter("kind = 'extends' and inside and class_kind = 'class'")
+    edges = clauses.select(F.col("class").alias("src"), F.col("target").alias("dst")).filter("src != dst")
     return graph.closure(edges).select(F.col("src").alias("class"), F.col("dst").alias("ancestor"))
 
 
@@ -65,8 +64,8 @@ def class_metrics(t: dict[str, DataFrame]) -> DataFrame:
     mpc = calls.join(declared.distinct(), [*CLASS, "callee"], "left_anti").groupBy(*CLASS).agg(F.count("*").alias("MPC"))
 
     trivial = (F.col("name").rlike("^(get|is)") & (F.col("params") == 0)) | (F.col("name").rlike("^set") & (F.col("params") == 1))
-    size = nodes.filter("kind in ('return', 'expression')").groupBy(*METHOD).agg(F.count("*").alias("steps"))
-    woc = methods.join(size, METHOD, "left").groupBy(*CLASS).agg((F.count_if(~(trivial & (F.coalesce("steps", F.lit(0)) <= 1))) / F.count("*")).alias("WOC"))
+    size = nodes.filter("kind in ('return', 'expression')").groupBy(*METHOD).agg(F.count("*").alias("actions"))
+    woc = methods.join(size, METHOD, "left").groupBy(*CLASS).agg((F.count_if(~(trivial & (F.coalesce("actions", F.lit(0)) <= 1))) / F.count("*")).alias("WOC"))
     out = t["classes"].select(*CLASS, "class_kind")
     for part in (own, own_methods, dac, cbo, rfc, mpc, woc, _cohesion(t, fields, methods, nodes)):
         out = out.join(part, CLASS, "left")

@@ -1,13 +1,18 @@
 """Java sources as tables: files, declarations, syntax nodes, tokens and diagnostics.
 
 Files are read as binary rows; exclusions are applied to paths before anything is parsed. Parsing runs inside
-Arrow batches on the executors and yields one wide stream of rows, told apart by ``row``; it is parsed once
-and split into tables. Each class or interface, nested and local ones too, is analysed by itself; a method's
-rows hold everything inside it, so those of a local class appear under both.
+Arrow batches on the executors and yields one wide stream of rows, told apart by ``row``; it is stored once,
+a folder for each kind of row, and the tables read their folders. Each class or interface, nested and local ones
+too, is analysed by itself; a method's rows hold everything inside it, so those of a local class appear under both.
+
+Rows of kind ``access`` are names, field accesses and calls as chains: where the chain begins (``origin``) and its
+``steps``, ``f:name`` for a field, ``c:name/arity`` for a call, ``i`` for an index. Local variables and parameters are
+replaced by their declared types while parsing, so that chains need no scopes afterwards.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -15,32 +20,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import graph
 from quarry.sources.java_lexer import PRIMITIVES, LexError
 from quarry.sources.java_parser import Node, ParseError, parse
 
 SCHEMA = (
     "row string, path string, package string, class string, class_kind string, member string, member_kind string, name string, modifiers array<string>, annotations array<string>, "
-    "type string, kind string, op string, line long, end_line long, body_line long, body_end long, params long, d_cond long, d_loop long, d_nest long, d_cog long, supers array<string>, interfaces array<string>"
+    "type string, kind string, op string, line long, end_line long, body_line long, body_end long, params long, d_cond long, d_loop long, d_nest long, d_cog long, supers array<string>, interfaces array<string>, "
+    "extends_types array<string>, implements_types array<string>, origin string, steps array<string>"
 )
 CONDITIONS, LOOPS = frozenset(["if", "switch", "catch", "ternary"]), frozenset(["for", "foreach", "while", "do"])
 COGNITIVE = CONDITIONS | LOOPS | {"lambda"}
 NAMES = re.compile(r"[^\W\d][\w$]*")
 
 
+def root_problems(roots: list[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
+    """The readable local roots, nested and repeated ones left out, and (path, kind, name) for those that are missing.
+
+    Roots with a scheme (``s3a://``, ``hdfs://``) are taken as they are. An explicit file must be a .java file.
+    """
+    good, bad = [], []
+    for root in dict.fromkeys(r.rstrip("/") or "/" for r in roots):
+        plain = root.removeprefix("file://")
+        if "://" in plain:
+            good.append(root)
+        elif not os.path.exists(plain):
+            bad.append((root, "ROOT_MISSING", "no such file or folder"))
+        elif not os.access(plain, os.R_OK):
+            bad.append((root, "ROOT_UNREADABLE", "can't be read"))
+        elif os.path.isfile(plain) and not plain.endswith(".java"):
+            bad.append((root, "NOT_JAVA", "an explicit file must end in .java"))
+        else:
+            good.append(root)
+    inside = lambda a, b: a != b and a.removeprefix("file://").startswith(b.removeprefix("file://").rstrip("/") + "/")
+    return [r for r in good if not any(inside(r, other) for other in good)], bad
+
+
 def files(spark: SparkSession, roots: list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
     """path and content of the .java files below the roots, each path once, without those whose dotted name an exclusion finds."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java").load(roots).select("path", "content").dropDuplicates(["path"])
+    roots, _ = root_problems(roots)
+    if not roots:
+        return spark.createDataFrame([], "path string, content binary")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java").load(roots).select("path", "content")
     dotted = F.translate(F.regexp_replace("path", r"\.java$", ""), "/\\", "..")
     for pattern in exclude:
         found = found.filter(~dotted.rlike(pattern))
     return found
 
 
+TABLES = {"classes": "class", "members": "member", "nodes": "node", "tokens": "token", "imports": "import", "unsupported": "unsupported", "diagnostics": "diagnostic", "accesses": "access", "types": "type", "files": "file"}
+
+
 def tables(sources: DataFrame) -> dict[str, DataFrame]:
-    """classes, members, nodes, tokens, imports, other declarations and diagnostics of source rows (path, content)."""
-    rows = sources.select("path", "content").mapInArrow(_parse_batches, SCHEMA)
-    names = {"classes": "class", "members": "member", "nodes": "node", "tokens": "token", "imports": "import", "unsupported": "unsupported", "diagnostics": "diagnostic"}
-    return {table: rows.filter(F.col("row") == row).drop("row") for table, row in names.items()}
+    """classes, members, nodes, tokens, imports, accesses, types, other declarations, files and diagnostics of source rows (path, content).
+
+    The files are parsed once, here; what is returned reads the stored rows.
+    """
+    rows = graph.kept(sources.select("path", "content").mapInArrow(_parse_batches, SCHEMA), "row")
+    return {table: rows.filter(F.col("row") == row).drop("row") for table, row in TABLES.items()}
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +96,7 @@ def file_rows(path: str, text: str) -> Iterator[dict]:
         yield {"row": "diagnostic", "path": path, "kind": "PARSE_FAILED", "name": str(error)[:300]}
         return
     base = {"path": path, "package": unit.name}
+    yield base | {"row": "file", "end_line": unit.end}
     for node in unit.children:
         if node.kind == "import":
             yield base | {"row": "import", "name": node.name, "op": node.op, "modifiers": list(node.modifiers), "line": node.line}
@@ -74,8 +112,9 @@ def _declarations(node: Node, base: dict, prefix: str) -> Iterator[dict]:
             yield from _class(child, base | {"class": name, "class_kind": child.kind})
             yield from _declarations(child, base, name)
         elif child.kind in ("enum", "record", "annotation"):
-            yield base | {"row": "unsupported", "kind": child.kind, "name": child.name, "line": child.line}
-            yield from _declarations(child, base, f"{prefix}.{child.name}" if prefix else child.name)
+            name = f"{prefix}.{child.name}" if prefix else child.name
+            yield base | {"row": "unsupported", "class": name, "kind": child.kind, "name": child.name, "line": child.line}
+            yield from _declarations(child, base, name)
         else:
             yield from _declarations(child, base, prefix)
 
@@ -84,7 +123,10 @@ def _class(node: Node, base: dict) -> Iterator[dict]:
     yield base | {
         "row": "class", "name": node.name, "modifiers": list(node.modifiers), "annotations": list(node.annotations), "line": node.line, "end_line": node.end,
         "supers": [_simple(t) for t in (node.extends if node.kind == "class" else ())], "interfaces": [_simple(t) for t in (node.implements if node.kind == "class" else node.extends)],
+        "extends_types": [_bare(t) for t in node.extends], "implements_types": [_bare(t) for t in node.implements],
     }
+    for name in sorted(_type_names(node)):
+        yield base | {"row": "type", "name": name}
     for kind, text in tokens(node):
         yield base | {"row": "token", "kind": kind, "name": text}
     for child in node.children:
@@ -98,6 +140,7 @@ def _class(node: Node, base: dict) -> Iterator[dict]:
                 "body_line": body and body.line, "body_end": body and body.end, "params": len(params) if child.kind != "field" else sum(c.kind == "variable" for c in child.children),
             }
             yield from _nodes(child, member)
+            yield from _accesses(child, member)
             if child.kind != "field":
                 for kind, text in tokens(child):
                     yield member | {"row": "token", "kind": kind, "name": text}
@@ -124,6 +167,73 @@ def _nodes(root: Node, base: dict) -> Iterator[dict]:
         stack += [(c, node, own_cond, own_loop, cog + (node.kind in COGNITIVE)) for c in reversed(node.children)]
 
 
+LITERALS = {"string": "String", "block": "String", "boolean": "boolean", "char": "char", "long": "long", "number": "int", "null": "?"}
+
+
+def _accesses(root: Node, base: dict) -> Iterator[dict]:
+    """One row for each name that is no local variable, field access and call below a member."""
+    local: dict[str, str] = {}
+    for node in root.walk():
+        if node.kind in ("parameter", "variable", "lambda-parameter", "catch", "instanceof", "pattern") and node.name and not (root.kind == "field" and node in root.children):
+            local.setdefault(node.name, "?" if not node.type or node.type == "var" else node.type.removesuffix("...") + "[]" * node.type.endswith("..."))
+    kinds = {"name": "name", "field-access": "field", "call": "call"}
+    for node in root.walk():
+        if node.kind in kinds and not (node.kind == "name" and node.name in local) and not (node.kind == "field-access" and node.name in ("this", "super")):
+            origin, steps = chain(node, local)
+            yield base | {"row": "access", "kind": kinds[node.kind], "name": node.name, "origin": origin, "steps": steps, "line": node.line}
+
+
+def chain(node: Node, local: dict[str, str]) -> tuple[str, list[str]]:
+    """(origin, steps) of an expression; origins: this, super, scope (looked up by name), type:T, and ? for what isn't known."""
+    steps: list[str] = []
+    while True:
+        kind = node.kind
+        if kind == "name":
+            return (f"type:{local[node.name]}", steps[::-1]) if node.name in local else ("scope", [*steps, f"f:{node.name}"][::-1])
+        if kind == "call":
+            steps.append(f"c:{node.name}/{len(node.children) - (node.op == '.')}")
+            if node.op != ".":
+                return "scope", steps[::-1]
+            node = node.children[0]
+        elif kind == "field-access":
+            if node.name == "this" and node.children[0].kind == "name":
+                return f"type:{node.children[0].name}", steps[::-1]
+            if node.name != "super":
+                steps.append(f"f:{node.name}")
+            node = node.children[0]
+        elif kind == "index":
+            steps.append("i")
+            node = node.children[0]
+        elif kind in ("parenthesis", "assign"):
+            node = node.children[0]
+        elif kind == "ternary":
+            node = node.children[1]
+        elif kind in ("this", "super"):
+            return kind, steps[::-1]
+        elif kind in ("new", "cast"):
+            return f"type:{node.type}", steps[::-1]
+        elif kind == "literal":
+            return f"type:{LITERALS.get(node.op, '?')}", steps[::-1]
+        else:
+            return "?", steps[::-1]
+
+
+TYPE_NAMES = re.compile(r"[^\W\d][\w$]*(?:\.[^\W\d][\w$]*)*")
+
+
+def _bare(type_: str) -> str:
+    """A type without type arguments and dimensions."""
+    return re.sub(r"<.*>", "", type_).rstrip("[].")
+
+
+def _type_names(root: Node) -> set[str]:
+    """The types that a class names, those in type arguments included."""
+    texts = []
+    for node in root.walk():
+        texts += [node.type, *node.extends, *node.implements]
+    return {name for text in texts if text for name in TYPE_NAMES.findall(text) if name not in PRIMITIVES and name not in ("extends", "super", "var")}
+
+
 #: Nodes that count as statements.
 STATEMENTS = frozenset("if switch for foreach while do return throw break continue try synchronized assert yield label expression locals local-class explicit-call".split())
 
