@@ -17,7 +17,7 @@ shares, calibrate the score by isotonic regression.
 
 Defined cases: null text is empty; a text without a word of the vocabulary scores the toxic share of such examples,
 or of all where there are none; labels other than 0 and 1 are left out; of several labels for one document the
-largest counts, of several texts for one doc_id the greatest; without any labelled example every score is 0; ties
+largest counts, of several texts for one doc_id each counts and the greatest can be an example; without any labelled example every score is 0; ties
 between neighbours go to the smaller doc_id. Rows are independent.
 """
 
@@ -28,7 +28,6 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -37,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chosen_ids, map_batches, stored
+from quarry.llm.common import BROADCAST_BYTES, chosen_ids, map_batches, stored
 from quarry.llm.language_id import excerpt, held_out
 
 TOKEN = re.compile(r"\w+")
 BLOCK, NEIGHBOURS = 64, 15
-#: Blocks that a query visits before it leaves others out.
-FIRST = 4
-#: Words a task holds before it passes their counts on.
-COUNTED = 500_000
+#: Blocks that a query visits before it leaves others out, and examples that hold a common word at least.
+FIRST, COMMON = 4, 32
+#: Bytes of a broadcast label.
+LABEL_BYTES = 24
 #: Bytes of an example's text at most, documents a word must be in before chance is asked, and the relevance of ordinary words.
 MOST, LEAST_DOCS, BASE = 1 << 20, 4, 0.05
 
@@ -68,23 +67,39 @@ class BlockMaxIndex:
         return {k: v for k, v in self.__dict__.items() if k != "layout"}
 
     @cached_property
-    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Largest weights (term, block); where the postings of each term and block begin; their places and weights."""
+    def layout(self) -> tuple[np.ndarray, ...]:
+        """Largest weights (term, block); a row number of each common term (-1 for others) and their weights (row, block, place);
+        for the others where the postings of each term and block begin, with their places and weights."""
         most = np.zeros((self.size, self.blocks))
         np.maximum.at(most, (self.terms, self.places // BLOCK), self.weights)
-        cells = self.terms * self.blocks + self.places // BLOCK
+        rows = np.full(self.size, -1)
+        common = np.flatnonzero(np.bincount(self.terms, minlength=self.size) >= COMMON)
+        rows[common] = np.arange(len(common))
+        table = np.zeros((len(common), self.blocks * BLOCK))
+        held = rows[self.terms] >= 0
+        table[rows[self.terms[held]], self.places[held]] = self.weights[held]
+        terms, places, weights = (x[~held] for x in (self.terms, self.places, self.weights))
+        cells = terms * self.blocks + places // BLOCK
         order = np.argsort(cells, kind="stable")
-        starts = np.searchsorted(cells[order], np.arange(self.size * self.blocks + 1))
-        return most, starts.astype(np.int32), self.places[order], self.weights[order]
+        starts = np.searchsorted(cells[order], np.arange(self.size * self.blocks + 1)).astype(np.int32)
+        return most, rows, table.reshape(len(common), self.blocks, BLOCK), starts, places[order], weights[order]
 
     def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """The cosine of every example in ``blocks``, by place; 0 for the others."""
-        _, starts, places, held = self.layout
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        _, rows, table, starts, places, held = self.layout
+        row = rows[terms]
+        common = row >= 0
+        rare = terms[~common]
+        cells = (rare[:, None] * self.blocks + blocks).ravel()
         begin = starts[cells]
         sizes = starts[cells + 1] - begin
+        full = np.flatnonzero(sizes)
+        begin, sizes = begin[full], sizes[full]
         at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(places[at], np.repeat(np.repeat(weights, len(blocks)), sizes) * held[at], minlength=len(self.ids))
+        out = np.bincount(places[at], np.repeat(weights[~common][full // len(blocks)], sizes) * held[at], minlength=self.blocks * BLOCK).astype(np.float64, copy=False)
+        if common.any():
+            out.reshape(self.blocks, BLOCK)[blocks] += np.tensordot(weights[common], table[row[common][:, None], blocks], 1)
+        return out[: len(self.ids)]
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The k best (cosine, doc_id) above 0, best first, smaller doc_id first among equals; ``without``: an id left out."""
@@ -249,38 +264,34 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, labels: DataFrame, words: list[str]) -> Counted:
-    """``counted_words`` over all labelled documents, with the counts of ``words``; tasks add up their words before any is shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                df[y].update(set(TOKEN.findall((text or "").lower())))
-                df[y][""] += 1  # no word is empty: the documents of the label
-            if len(df[0]) + len(df[1]) > COUNTED:
-                yield rows(df)
-        yield rows(df)
-
-    def rows(df: tuple[Counter, Counter]) -> pa.RecordBatch:
-        held = list(df[0].keys() | df[1].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array([df[y][w] for w in held], pa.int64()) for y in (0, 1))], names=["word", "clean", "toxic"])
-        for x in df:
-            x.clear()
-        return out
-
-    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([likeness(t or "") for t in batch.column("text").to_pylist()], pa.int64())], names=["doc_id", "toxic", "alike"])
+    """``counted_words`` over all labelled documents, for ``words``, all of which are tried.
 
-    named = labelled(labels)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").join(named, "doc_id")
-    seen = map_batches(texts, alike, "doc_id long, toxic int, alike long").groupBy("doc_id", "toxic").agg(F.min("alike").alias("alike"))
-    once = stored(seen.groupBy("alike", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "toxic-once")
-    texts = texts.join(once, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    summed = stored(texts.select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
-    wanted = docs.sparkSession.createDataFrame([(w,) for w in ["", *words]], "word string")
-    found = {r.word: (r.toxic, r.clean) for r in summed.join(wanted, "word").collect()}
-    toxic, clean = found.pop("", (0, 0))
-    return Counted(toxic, clean, summed.filter(f"word != '' and toxic + clean >= {LEAST_DOCS}").count(), found)
+    Texts don't shuffle. Labels are broadcast up to a checked size; more of them meet the documents' doc_ids, least
+    hashes and word numbers in a shuffled join.
+    """
+    number = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    schema = "doc_id long, alike long, terms array<int>"
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        alike, terms, known = [], [], number.value.get
+        for text in batch.column("text").to_pylist():
+            alike.append(likeness(text or ""))
+            found = {known(w, -1) for w in TOKEN.findall((text or "").lower())} | {-1}  # -1 counts the document
+            terms.append(sorted(found))
+        out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(alike, pa.int64()), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "alike", "terms"])
+        return out.append_column("toxic", batch.column("toxic")) if "toxic" in batch.schema.names else out
+
+    named = stored(labelled(labels), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    if named.count() * LABEL_BYTES <= BROADCAST_BYTES:
+        rows = map_batches(texts.join(F.broadcast(named), "doc_id"), read, f"{schema}, toxic int")
+    else:
+        rows = map_batches(texts, read, schema).join(named, "doc_id")
+    once = rows.groupBy("alike", "toxic").agg(F.min(F.struct("doc_id", "terms"))["terms"].alias("terms"))
+    counted = once.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
+    found = {r.term: (r.toxic, r.clean) for r in counted.collect()}  # a row for each of the words at most
+    toxic, clean = found.pop(-1, (0, 0))
+    return Counted(toxic, clean, sum(a + b >= LEAST_DOCS for a, b in found.values()), {words[i]: n for i, n in found.items()})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, most: int = MOST) -> tuple[list[tuple[int, str, int]], float]:

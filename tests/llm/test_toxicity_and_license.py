@@ -76,7 +76,7 @@ def test_score_over_rows(spark, samples):
     assert toxicity.score(docs.limit(0), labels).collect() == []
 
 
-def test_words_of_a_rare_language_and_of_copies(spark):
+def test_words_of_a_rare_language_and_of_copies(spark, monkeypatch):
     pick = random.Random(8)
     rows = [sample(i, i % 4 == 0, pick) for i in range(1600)]
     rows += [(2000 + i, " ".join([f"palabra{pick.randrange(900)}" for _ in range(30)] + ["horrible"] * (i < 12)), int(i < 12)) for i in range(60)]
@@ -87,6 +87,8 @@ def test_words_of_a_rare_language_and_of_copies(spark):
     counted = toxicity.counted_words([r for r in rows if r[0] not in held])
     assert {w for w in counted.words if counted.relevance(w, 0.05) > 0.5} == {*BAD, "horrible"}
     assert toxicity.vocabulary(docs, labels, sorted(counted.words)) == counted
+    monkeypatch.setattr(toxicity, "BROADCAST_BYTES", 0)  # labels too many to broadcast
+    assert toxicity.vocabulary(docs, labels, sorted(counted.words)) == counted
     assert toxicity.vocabulary(docs, labels.limit(0), ["garden"]) == toxicity.Counted(0, 0, 0, {})
     model = toxicity.fit(docs, labels, per_class=200)
     assert {*BAD, *GOOD, "horrible"} < set(model.terms)  # all words of the examples
