@@ -12,19 +12,19 @@ def halstead(n1: Column, n2: Column, big_n1: Column, big_n2: Column) -> dict[str
     """The six measures from distinct and total operators (n1, N1) and operands (n2, N2); all must be above 0.
 
     Length and vocabulary follow the catalogue's own definitions: ``vocabulary`` is computed like the volume.
-    The effort's integer numerator wraps at 32 bits.
+    The effort's integer numerator wraps at 32 bits; its logarithm is natural, and errors are a 3000th of it.
     """
     volume = (big_n1 + big_n2) * (F.ln((n1 + n2).cast("double")) / F.ln(F.lit(2.0)))
     difficulty = (n1 / F.lit(2.0)) * (big_n2 / n2.cast("double"))
     numerator = wrap32(wrap32(n1 * big_n2) * (big_n1 + big_n2))
-    effort = numerator * (F.ln((n1 + n2).cast("double")) / F.ln(F.lit(2.0))) / (2 * n2)
+    effort = numerator * F.ln((n1 + n2).cast("double")) / (2 * n2)
     return {
         "volume": volume,
         "difficulty": difficulty,
         "length": (F.lit(2.0) / n1) * (n2.cast("double") / big_n2),
         "effort": effort,
         "vocabulary": volume,
-        "errors": F.pow(effort, F.lit(2.0) / 3) / 3000,
+        "errors": effort / 3000,
     }
 
 

@@ -21,6 +21,8 @@ from quarry.plans import java_names, java_symbols
 from quarry.sources import java_source
 
 METHOD = ["path", "package", "class", "member"]
+#: Codes of package sums; those of the project begin with PR instead of PA.
+SUMMED = {"CHVL": "PAHVL", "CHD": "PAHD", "CHL": "PACHL", "CHEF": "PACHEF", "CHVC": "PACHVC", "CHER": "PACHER"}
 HALSTEAD = {"volume": "HVL", "difficulty": "HD", "length": "HL", "effort": "HEF", "vocabulary": "HVC", "errors": "HER"}
 
 
@@ -87,8 +89,8 @@ def _cohesion(t: dict[str, DataFrame]) -> DataFrame:
     """TCC: share of method pairs that use a field of the class in common, by name."""
     keys = ["path", "class"]
     used = t["nodes"].filter("member_kind = 'method' and kind in ('name', 'own-field-access')").select(*keys, "package", "member", "name").distinct()
-    fields = t["nodes"].filter("member_kind = 'field' and kind = 'variable'").select(*keys, "name").distinct()
-    usable = t["members"].filter((F.col("member_kind") == "method") & ~_has("modifiers", "static") & ~_has("modifiers", "abstract") & ~F.col("name").isin("equals", "hashCode", "toString")).select(*keys, "package", "member")
+    fields = java_names.own_fields(t).filter("not is_static").select(*keys, "name").distinct()
+    usable = t["members"].filter((F.col("member_kind") == "method") & ~_has("modifiers", "static") & ~_has("modifiers", "abstract") & ~F.col("name").isin(*java_symbols.BOILERPLATE)).select(*keys, "package", "member")
     touching = used.join(fields, [*keys, "name"]).join(usable, [*keys, "package", "member"], "left_semi")
     a, b = (touching.select(*keys, "package", "name", F.col("member").alias(s)) for s in "ab")
     pairs = a.join(b, [*keys, "package", "name"]).filter("a < b").select(*keys, "package", "a", "b").distinct().groupBy(*keys, "package").agg(F.count("*").alias("pairs"))
@@ -97,22 +99,14 @@ def _cohesion(t: dict[str, DataFrame]) -> DataFrame:
     return n.join(pairs, [*keys, "package"], "left").select(*keys, "package", ratio.alias("TCC"))
 
 
-def dependencies(t: dict[str, DataFrame]) -> DataFrame:
-    """(src, dst) between packages, from imports: a single type's package, or the whole of a wildcard import."""
-    one = F.regexp_replace("name", r"\.[^.]+$", "")
-    two = F.regexp_replace(one, r"\.[^.]+$", "")
-    static = _has("modifiers", "static")
-    target = F.when(F.col("op") == "*", F.when(static, one).otherwise(F.col("name"))).when(static, two).otherwise(one)
-    return t["imports"].select(F.col("package").alias("src"), target.alias("dst")).filter("src != dst").distinct()
-
-
-def packages(class_rows: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+def packages(class_rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row a package; ``edges`` (src, dst) are its dependencies, on packages outside the project too."""
     interface, abstract = F.col("class_kind") == "interface", _has("modifiers", "abstract") & (F.col("class_kind") == "class")
     out = class_rows.groupBy("package").agg(
         F.count_if(~interface & ~abstract).alias("PNOCC"), F.count_if(abstract).alias("PNOAC"), F.count_if(interface).alias("PNOI"), F.count_if(_has("modifiers", "static")).alias("PNOSC"),
-        F.count("*").alias("n"), F.sum("NCSS").alias("PNCSS"), F.sum("CLOC").alias("PLOC"), F.sum("method_cc").alias("cc"), *(F.sum(f"C{c}").alias(f"PA{c}") for c in HALSTEAD.values()),
+        F.count("*").alias("n"), F.sum("NCSS").alias("PNCSS"), F.sum("CLOC").alias("PLOC"), F.sum("method_cc").alias("cc"), *(F.sum(c).alias(p) for c, p in SUMMED.items()),
     )
-    edges = dependencies(t)
+    edges = graph.kept(edges)
     own = out.select("package")
     ce = edges.groupBy(F.col("src").alias("package")).agg(F.count("*").alias("Ce"))
     ca = edges.join(own.withColumnRenamed("package", "src"), "src", "left_semi").groupBy(F.col("dst").alias("package")).agg(F.count("*").alias("Ca"))
@@ -127,8 +121,8 @@ KOTLIN = ["PNOKOBJ", "PNOKCO", "PNOKDC", "PNOKSC"]
 QUALITIES = {"reusability": "Reusability", "flexibility": "Flexibility", "understandability": "Understandability", "functionality": "Functionality", "extendibility": "Extendibility", "effectiveness": "Effectiveness"}
 METHOD_CODES = ["CC", "CCM", "CND", "LND", "MND", "NOL", "LOC", "NOPM", "NOAV", "CINT", "CDISP", *HALSTEAD.values(), "MMI"]
 CLASS_CODES = ["WMC", "NOM", "NOO", "NOOM", "NOAM", "NOAC", "NOPA", "NCSS", "TCC", "CLOC", "CCC", *(f"C{c}" for c in HALSTEAD.values()), "CMI", "DIT", "NOC", "NOA", "SIZE2", "DAC", "CBO", "RFC", "MPC", "WOC", "LCOM", "ATFD", "LAA", "FDP"]
-PACKAGE_CODES = ["Ce", "Ca", "I", "A", "D", "PNOCC", "PNOAC", "PNOI", "PNOSC", *KOTLIN, "PNCSS", "PLOC", *(f"PA{c}" for c in HALSTEAD.values()), "PAMI"]
-PROJECT_CODES = ["PNOCC", "PNOAC", "PNOI", "PNOSC", *KOTLIN, "PNCSS", "PLOC", *(f"PR{c}" for c in HALSTEAD.values()), "PRMI", "MHF", "AHF", "MIF", "AIF", "CF", "PF", *QUALITIES.values()]
+PACKAGE_CODES = ["Ce", "Ca", "I", "A", "D", "PNOCC", "PNOAC", "PNOI", "PNOSC", *KOTLIN, "PNCSS", "PLOC", *SUMMED.values(), "PAMI"]
+PROJECT_CODES = ["PNOCC", "PNOAC", "PNOI", "PNOSC", *KOTLIN, "PNCSS", "PLOC", *(f"PR{p[2:]}" for p in SUMMED.values()), "PRMI", "MHF", "AHF", "MIF", "AIF", "CF", "PF", *QUALITIES.values()]
 
 
 def design_factors(symbols: java_symbols.Symbols) -> DataFrame:
@@ -138,7 +132,7 @@ def design_factors(symbols: java_symbols.Symbols) -> DataFrame:
     lines = graph.kept(lines.select("class", "ancestor"))
     parts = {
         "MHF": mood.hiding(methods_, classes, lines), "AHF": mood.hiding(fields, classes, lines), "MIF": mood.method_inheritance(methods_, classes, lines),
-        "AIF": mood.field_inheritance(fields, classes, lines), "CF": mood.coupling_factor(symbols.couplings(), classes), "PF": mood.polymorphism(methods_, classes, lines),
+        "AIF": mood.field_inheritance(fields, classes, lines), "CF": mood.coupling_factor(symbols.foreign_couplings(), classes), "PF": mood.polymorphism(methods_, classes, lines),
     }
     row = None
     for code, part in parts.items():
@@ -185,13 +179,13 @@ def measure(spark: SparkSession, sources: DataFrame, problems: list[tuple[str, s
         t["diagnostics"] = t["diagnostics"].unionByName(spark.createDataFrame(problems, "path string, kind string, name string"), allowMissingColumns=True)
     symbols = java_symbols.Symbols(t)
     zeros = [F.lit(0).cast("long").alias(c) for c in KOTLIN]
-    method_rows = methods(t).join(java_names.method_metrics(t), METHOD, "left").join(symbols.method_metrics(), METHOD, "left").withColumn("CDISP", F.when(F.col("member_kind") == "method", F.coalesce("CDISP", F.lit(0))))
+    method_rows = methods(t).join(symbols.variables_and_callees(), METHOD, "left").join(symbols.method_metrics(), METHOD, "left").withColumn("CDISP", F.when(F.col("member_kind") == "method", F.coalesce("CDISP", F.lit(0))))
     method_rows = graph.kept(method_rows.withColumn("entity", F.concat_ws("#", "class", "member")))
     class_rows = classes(t, method_rows)
-    class_rows = class_rows.join(symbols.inheritance(), "class", "left").join(java_names.class_metrics(t), ["path", "package", "class"], "left").join(symbols.class_metrics(), "class", "left")
+    class_rows = class_rows.join(symbols.inheritance(), "class", "left").join(java_names.class_metrics(t), ["path", "package", "class"], "left").join(symbols.class_metrics(), "class", "left").join(symbols.coupling_metrics(), "class", "left")
     class_rows = graph.kept(class_rows)
-    package_rows = graph.kept(packages(class_rows, t).select("*", *zeros))
-    project = package_rows.agg(*(F.sum(c).alias(c) for c in ("PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC")), F.sum("cc").alias("cc"), *(F.coalesce(F.sum(f"PA{c}"), F.lit(0.0)).alias(f"PR{c}") for c in HALSTEAD.values()))
+    package_rows = graph.kept(packages(class_rows, symbols.package_edges()).select("*", *zeros))
+    project = package_rows.agg(*(F.sum(c).alias(c) for c in ("PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC")), F.sum("cc").alias("cc"), *(F.coalesce(F.sum(p), F.lit(0.0)).alias(f"PR{p[2:]}") for p in SUMMED.values()))
     project = project.withColumn("PRMI", formulas.project_maintainability(F.col("PRHVL"), F.col("cc"), F.col("PLOC"))).select("*", *zeros, F.lit("project").alias("entity"), F.lit(None).cast("string").alias("parent"))
     project = graph.kept(project.crossJoin(F.broadcast(design_factors(symbols))).crossJoin(F.broadcast(qualities(class_rows, package_rows))))  # one row each
     rows = long_form(method_rows, "method", "entity", "class", METHOD_CODES).unionByName(long_form(class_rows, "class", "class", "package", CLASS_CODES))

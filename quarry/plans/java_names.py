@@ -14,13 +14,6 @@ from quarry.plans import java_symbols
 
 CLASS = ["path", "package", "class"]
 METHOD = [*CLASS, "member"]
-TYPE_NAME = r"[A-Z]\w*"
-
-
-def _types(column: str):
-    return F.explode(F.regexp_extract_all(column, F.lit(TYPE_NAME), 0))
-
-
 def own_fields(t: dict[str, DataFrame]) -> DataFrame:
     """(class keys, name, type, is_static) of the declared fields, one row a variable."""
     fields = t["members"].filter("member_kind = 'field'").select(*METHOD, F.array_contains("modifiers", "static").alias("is_static"))
@@ -36,50 +29,19 @@ def ancestors(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def class_metrics(t: dict[str, DataFrame]) -> DataFrame:
-    """Per class: NOA, SIZE2 (own and inherited within the project), DAC, CBO, RFC (null for interfaces), MPC, WOC, LCOM."""
+    """Per class: NOA (own and inherited fields within the project) and LCOM."""
     fields, lines = graph.kept(own_fields(t)), graph.kept(ancestors(t))
     methods = t["members"].filter("member_kind = 'method'")
     nodes = t["nodes"].filter("kind != 'statement'")
-    inherited = lines.join(fields.select(F.col("class").alias("ancestor"), "name", "is_static"), "ancestor").groupBy("class").agg(F.count("*").alias("more_fields"), F.count_if(~F.col("is_static")).alias("more_instance"))
-    inherited_methods = lines.join(methods.select(F.col("class").alias("ancestor"), "modifiers"), "ancestor").groupBy("class").agg(F.count_if(~F.array_contains("modifiers", "static")).alias("more_methods"))
-    own = fields.groupBy(*CLASS).agg(F.count("*").alias("fields"), F.count_if(~F.col("is_static")).alias("instance"))
-    own_methods = methods.groupBy(*CLASS).agg(F.count_if(~F.array_contains("modifiers", "static")).alias("instance_methods"))
-
-    simple = t["classes"].select(*CLASS, F.col("name").alias("self"))
-    field_types = fields.select(*CLASS, _types("type").alias("used"))
-    dac = field_types.distinct().groupBy(*CLASS).agg(F.count("*").alias("DAC"))
-    used = nodes.filter("type is not null").select(*CLASS, _types("type").alias("used")).unionByName(field_types)
-    signatures = t["members"].select(*CLASS, _types(F.concat_ws(" ", "type", "member")).alias("used"))
-    annotations = t["members"].select(*CLASS, F.explode("annotations").alias("used")).unionByName(t["classes"].select(*CLASS, F.explode("annotations").alias("used")))
-    supers = t["classes"].select(*CLASS, F.explode(F.concat("supers", "interfaces")).alias("used"))
-    imported = t["imports"].filter("op is null or op != '*'").select("path", F.element_at(F.split("name", r"\."), -1).alias("used")).join(t["classes"].select(*CLASS), "path").select(*CLASS, "used")
-    coupled = used.unionByName(signatures).unionByName(annotations).unionByName(supers).unionByName(imported).distinct()
-    cbo = coupled.join(simple, CLASS).filter("used != self").groupBy(*CLASS).agg(F.count("*").alias("CBO"))
-
-    arity = F.when(F.col("op") == ".", F.col("params") - 1).otherwise(F.col("params"))
-    calls = nodes.filter("kind = 'call'").select(*CLASS, F.concat_ws("/", "name", arity.cast("string")).alias("callee"), "op")
-    made = nodes.filter("kind in ('new', 'method-reference', 'explicit-call')").select(*CLASS, F.concat_ws("/", "kind", F.coalesce("type", "name")).alias("callee"))
-    declared = t["members"].filter("member_kind != 'field'").select(*CLASS, F.concat_ws("/", "name", F.col("params").cast("string")).alias("callee"))
-    rfc = calls.drop("op").unionByName(made).unionByName(declared).distinct().groupBy(*CLASS).agg(F.count("*").alias("RFC"))
-    mpc = calls.join(declared.distinct(), [*CLASS, "callee"], "left_anti").groupBy(*CLASS).agg(F.count("*").alias("MPC"))
-
-    trivial = (F.col("name").rlike("^(get|is)") & (F.col("params") == 0)) | (F.col("name").rlike("^set") & (F.col("params") == 1))
-    size = nodes.filter("kind in ('return', 'expression')").groupBy(*METHOD).agg(F.count("*").alias("actions"))
-    woc = methods.join(size, METHOD, "left").groupBy(*CLASS).agg((F.count_if(~(trivial & (F.coalesce("actions", F.lit(0)) <= 1))) / F.count("*")).alias("WOC"))
-    out = t["classes"].select(*CLASS, "class_kind")
-    for part in (own, own_methods, dac, cbo, rfc, mpc, woc, _cohesion(t, fields, methods, nodes)):
-        out = out.join(part, CLASS, "left")
-    out = out.join(inherited, "class", "left").join(inherited_methods, "class", "left")
-    out = out.na.fill(0, ["fields", "instance", "instance_methods", "more_fields", "more_instance", "more_methods", "DAC", "CBO", "RFC", "MPC", "LCOM"]).na.fill(0.0, ["WOC"])
-    return out.select(
-        *CLASS, (F.col("fields") + F.col("more_fields")).alias("NOA"), (F.col("instance") + F.col("more_instance") + F.col("instance_methods") + F.col("more_methods")).alias("SIZE2"),
-        "DAC", "CBO", F.when(F.col("class_kind") != "interface", F.col("RFC")).alias("RFC"), "MPC", "WOC", "LCOM",
-    )
+    inherited = lines.join(fields.select(F.col("class").alias("ancestor"), "name"), "ancestor").groupBy("class").agg(F.count("*").alias("more_fields"))
+    own = fields.groupBy(*CLASS).agg(F.count("*").alias("fields"))
+    out = t["classes"].select(*CLASS).join(own, CLASS, "left").join(_cohesion(t, fields, methods, nodes), CLASS, "left").join(inherited, "class", "left").na.fill(0, ["fields", "more_fields", "LCOM"])
+    return out.select(*CLASS, (F.col("fields") + F.col("more_fields")).alias("NOA"), "LCOM")
 
 
 def _cohesion(t, fields, methods, nodes) -> DataFrame:
     """LCOM: components of the instance methods that use a field of the class; edges are fields and calls in common."""
-    usable = methods.filter(~F.array_contains("modifiers", "static") & ~F.col("name").isin("equals", "hashCode", "toString")).select(*METHOD, "name", "params")
+    usable = methods.filter(~F.array_contains("modifiers", "static") & ~F.col("name").isin(*java_symbols.BOILERPLATE)).select(*METHOD, "name", "params")
     touched = nodes.filter("kind in ('name', 'own-field-access')").select(*METHOD, "name").distinct().join(fields.filter("not is_static").select(*CLASS, "name"), [*CLASS, "name"])
     touched = graph.kept(touched.join(usable.select(*METHOD), METHOD, "left_semi").distinct())
     users = touched.select(*METHOD).distinct()
@@ -93,22 +55,6 @@ def _cohesion(t, fields, methods, nodes) -> DataFrame:
     return labels.groupBy("grp").agg(F.count_distinct("component").alias("LCOM")).select("grp.*", "LCOM")
 
 
-def method_metrics(t: dict[str, DataFrame]) -> DataFrame:
-    """Per method: NOAV (distinct parameters, variables and project fields named) and CINT (distinct callees by name and arity)."""
-    nodes = t["nodes"].filter("kind != 'statement' and member_kind in ('method', 'constructor')")
-    local = nodes.filter("kind in ('parameter', 'variable', 'lambda-parameter')").select(*METHOD, "name").distinct()
-    fields = own_fields(t)
-    lines = ancestors(t)
-    reachable = fields.select("class", "name").unionByName(lines.join(fields.select(F.col("class").alias("ancestor"), "name"), "ancestor").select("class", "name")).distinct()
-    named = nodes.filter("kind = 'name'").select(*METHOD, "name").distinct()
-    seen = named.join(local, [*METHOD, "name"], "left_semi").unionByName(named.join(reachable, ["class", "name"], "left_semi").select(*METHOD, "name")).distinct()
-    noav = seen.groupBy(*METHOD).agg(F.count("*").alias("NOAV"))
-    arity = F.when(F.col("op") == ".", F.col("params") - 1).otherwise(F.col("params"))
-    cint = nodes.filter("kind = 'call'").select(*METHOD, "name", arity.alias("arity")).distinct().groupBy(*METHOD).agg(F.count("*").alias("CINT"))
-    base = t["members"].filter("member_kind != 'field'").select(*METHOD).distinct()
-    return base.join(noav, METHOD, "left").join(cint, METHOD, "left").na.fill(0, ["NOAV", "CINT"])
-
-
 def coverage(t: dict[str, DataFrame]) -> DataFrame:
     """attempts, resolved and coverage of plain names in methods; coverage is null without any."""
     nodes = t["nodes"].filter("kind = 'name' and member_kind in ('method', 'constructor')").select(*METHOD, "name").distinct()

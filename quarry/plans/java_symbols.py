@@ -6,9 +6,10 @@ field accesses and calls is followed step by step: a member is looked up in the
 and interfaces, the nearest first, and its declared type is where the next step starts. All of this is done by
 joins over distinct names and distinct chains.
 
-Types outside the project are known by name only, so calls and fields of theirs aren't resolved; ``coverage`` says
-which share is. What that leaves out understates ATFD and CDISP, and leaves LAA and FDP undefined, as an unresolved
-access does in them.
+Of types outside the project those of the platform (``java.``, ``javax.``) are known by name: a call or field of
+theirs counts as declared by the type it is used on, and what it gives isn't known. All other types outside the
+project are unresolved; ``coverage`` says which share is resolved. What that leaves out is missing in the counts, and
+LAA and FDP are undefined where a field access can't be resolved.
 """
 
 from __future__ import annotations
@@ -36,6 +37,13 @@ StackOverflowError ThreadDeath UnknownError UnsatisfiedLinkError UnsupportedClas
 FunctionalInterface Override SafeVarargs SuppressWarnings""".split()
 
 
+#: Depths of some classes of java.lang, instance methods of Object, methods that say nothing about a class, and types taken for known by the name a call is made on.
+PLATFORM_DEPTH = {"Math": 1, "StrictMath": 1, "String": 1, "System": 1, "Character": 1, "Boolean": 1, "Thread": 1, "Runtime": 1, "Integer": 2, "Long": 2, "Double": 2, "Float": 2, "Short": 2, "Byte": 2}
+OBJECT = ("getClass()", "hashCode()", "equals(Object)", "clone()", "toString()", "notify()", "notifyAll()", "wait()", "wait(long)", "wait(long, int)", "finalize()")
+BOILERPLATE = ("toString", "equals", "hashCode", "finalize", "clone", "readObject", "writeObject")
+INFERRED = ("java.util.Objects", "java.util.Comparator", "java.util.Collections", "java.util.Arrays", "java.lang.String", "java.lang.Math", "java.lang.System", "java.util.Optional", "java.util.stream.Stream")
+
+
 def _bare(type_: Column) -> Column:
     """A type's name without type arguments and dimensions."""
     return F.regexp_replace(type_, r"(<.*>)|(\[\])|(\.\.\.)|\s", "")
@@ -45,6 +53,10 @@ def _dims(type_: Column) -> Column:
     return F.regexp_count(F.regexp_replace(type_, "<.*>", ""), F.lit(r"\[\]")).cast("int")
 
 
+def platform(name: Column) -> Column:
+    return name.startswith("java.") | name.startswith("javax.")
+
+
 def enclosing(class_: Column, package: Column) -> Column:
     """The class and the classes around it, innermost first."""
     parts = F.split(class_, r"\.")
@@ -74,7 +86,7 @@ def type_targets(names: DataFrame, t: dict[str, DataFrame], types: DataFrame) ->
     tried = joined.select(*CLASS, "name", F.posexplode(candidates).alias("rank", "type")).join(types.select("type"), "type")
     found = tried.groupBy(*CLASS, "name").agg(F.min_by("type", "rank").alias("found"))
     qualified = F.col("name").rlike(r"^[a-z_][\w$]*\..*\b[A-Z]")
-    outside = F.coalesce(imported, F.when(F.col("name").isin(*JAVA_LANG), F.concat(F.lit("java.lang."), "name")), F.when(qualified, F.col("name")))
+    outside = F.coalesce(F.when(platform(imported), imported), F.when(F.col("name").isin(*JAVA_LANG), F.concat(F.lit("java.lang."), "name")), F.when(qualified & platform(F.col("name")), F.col("name")))
     return joined.join(found, [*CLASS, "name"], "left").select(*CLASS, "name", F.coalesce("found", outside).alias("target"), F.col("found").isNotNull().alias("inside"))
 
 
@@ -108,15 +120,15 @@ def symbols(t: dict[str, DataFrame], types: DataFrame, lines: DataFrame) -> Data
 
 
 def resolved_chains(t: dict[str, DataFrame], types: DataFrame, lines: DataFrame, clauses: DataFrame) -> DataFrame:
-    """(path, package, class, origin, steps) of all chains, with the last step's declaring class, is_static, type and arity; ``value`` is false for names of types."""
+    """(path, package, class, origin, steps) of all chains, with the last step's declaring class, is_static, type and arity; ``value`` is false for names of types, ``names_type`` then being which."""
     known = graph.kept(symbols(t, types, lines))
     chains = t["accesses"].select(*CHAIN).distinct()
     origin = F.col("origin")
     named = origin.startswith("type:")
     start = chains.withColumn("bare", F.when(named, _bare(F.substring(origin, 6, 1 << 30)))).withColumn("dims", F.when(named, _dims(F.substring(origin, 6, 1 << 30))).otherwise(0))
     own_types = type_targets(start.filter("bare is not null and bare not in ('?', '')").select(*CLASS, F.col("bare").alias("name")).distinct(), t, types)
-    start = start.join(own_types.select(*CLASS, F.col("name").alias("bare"), F.when(F.col("inside"), F.col("target")).alias("at")), [*CLASS, "bare"], "left")
-    parent = clauses.filter("kind = 'extends' and inside").groupBy(*CLASS).agg(F.min("target").alias("parent"))
+    start = start.join(own_types.select(*CLASS, F.col("name").alias("bare"), F.col("target").alias("at")), [*CLASS, "bare"], "left")
+    parent = clauses.filter("kind = 'extends'").groupBy(*CLASS).agg(F.min("target").alias("parent"))
     start = start.join(parent, CLASS, "left").withColumn("at", F.when(origin == "this", F.col("class")).when(origin == "super", F.col("parent")).otherwise(F.col("at")))
     kind = lambda k: F.substring(F.element_at("steps", k), 1, 1)
     text = lambda k: F.substring(F.element_at("steps", k), 3, 1 << 30)
@@ -126,7 +138,7 @@ def resolved_chains(t: dict[str, DataFrame], types: DataFrame, lines: DataFrame,
     free = start.filter(origin == "scope").select(*CHAIN, kind(1).alias("mkind"), name(1).alias("name"), arity(1).alias("arity"))
     owners = free.select(*CLASS, "mkind", "name", "arity").distinct().select("*", F.posexplode(enclosing(F.col("class"), F.col("package"))).alias("rank", "owner"))
     nearest = owners.join(known, ["owner", "mkind", "name", "arity"]).groupBy(*CLASS, "mkind", "name", "arity").agg(F.min_by(F.struct("declaring", "is_static", "type", "next", "dims"), "rank").alias("m"))
-    as_type = type_targets(free.filter("mkind = 'f'").select(*CLASS, "name").distinct(), t, types).select(*CLASS, "name", F.when(F.col("inside"), F.col("target")).alias("target"), F.col("target").isNotNull().alias("is_type"))
+    as_type = type_targets(free.filter("mkind = 'f'").select(*CLASS, "name").distinct(), t, types).select(*CLASS, "name", "target", F.col("target").isNotNull().alias("is_type"))
     free = free.join(nearest, [*CLASS, "mkind", "name", "arity"], "left").join(as_type, [*CLASS, "name"], "left")
     first = free.select(*CHAIN, "m.declaring", "m.is_static", F.col("m.type").alias("type"), F.when(F.col("m").isNotNull(), F.col("m.next")).otherwise(F.col("target")).alias("at"), F.coalesce(F.col("m.dims"), F.lit(0)).alias("dims"), (F.col("m").isNotNull() | ~F.coalesce("is_type", F.lit(False))).alias("value"), F.lit(1).alias("k"))
     empty = {"declaring": "string", "is_static": "boolean", "type": "string"}
@@ -143,12 +155,15 @@ def resolved_chains(t: dict[str, DataFrame], types: DataFrame, lines: DataFrame,
         there = known.select("owner", "mkind", F.col("name").alias("mname"), F.col("arity").alias("marity"), "declaring", "is_static", "type", "next", F.col("dims").alias("mdims"))
         joined = asked.join(there, on, "left")
         index = F.col("skind") == "i"
-        state = graph.kept(joined.select(*CHAIN, "declaring", "is_static", "type", F.when(index & (F.col("dims") > 0), F.col("at")).otherwise(F.col("next")).alias("at"), F.when(index, F.col("dims") - 1).otherwise(F.coalesce("mdims", F.lit(0))).alias("dims"), F.lit(True).alias("value"), "k"))
+        made, abroad = F.col("skind") == "n", platform(F.col("at")) & F.col("skind").isin("c", "f") & (F.col("dims") == 0)
+        declaring = F.coalesce("declaring", F.when(made | abroad, F.col("at"))).alias("declaring")
+        is_static = F.coalesce("is_static", abroad & (F.col("skind") == "f")).alias("is_static")
+        state = graph.kept(joined.select(*CHAIN, declaring, is_static, "type", F.when(index & (F.col("dims") > 0), F.col("at")).otherwise(F.col("next")).alias("at"), F.when(index, F.col("dims") - 1).otherwise(F.coalesce("mdims", F.lit(0))).alias("dims"), F.lit(True).alias("value"), "k"))
         done.append(state.filter(F.size("steps") == F.col("k")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(*CHAIN, "declaring", "is_static", "type", "value", name(F.size("steps")).alias("last"), arity(F.size("steps")).alias("arity"))
+    return out.select(*CHAIN, "declaring", "is_static", "type", "value", F.when(~F.col("value"), F.col("at")).alias("names_type"), name(F.size("steps")).alias("last"), arity(F.size("steps")).alias("arity"))
 
 
 def visibility(modifiers: Column, owner: Column, interface: Column) -> Column:
@@ -174,7 +189,7 @@ class Symbols:
 
     def coverage(self) -> DataFrame:
         """attempts, resolved and coverage of accesses and supertypes; coverage is null without any."""
-        counted = self.accesses.filter("value").agg(F.count("*").alias("a"), F.count("declaring").alias("r")).crossJoin(F.broadcast(self.clauses.agg(F.count("*").alias("c"), F.count("target").alias("s"))))
+        counted = self.accesses.filter("value and kind in ('name', 'field', 'call')").agg(F.count("*").alias("a"), F.count("declaring").alias("r")).crossJoin(F.broadcast(self.clauses.agg(F.count("*").alias("c"), F.count("target").alias("s"))))
         return counted.select((F.col("a") + F.col("c")).alias("attempts"), (F.col("r") + F.col("s")).alias("resolved"), F.try_divide((F.col("r") + F.col("s")).cast("double"), F.col("a") + F.col("c")).alias("coverage"))
 
     def inheritance(self) -> DataFrame:
@@ -224,16 +239,107 @@ class Symbols:
         extended = self.clauses.filter("kind = 'extends'").select(F.col("class").alias("src"), F.col("target").alias("dst"), F.lit(True).alias("extended")).distinct()
         classes_above = above.join(extended, ["src", "dst"], "left").filter("kind = 'class' or (kind is null and extended and dst != 'java.lang.Object')").groupBy("src").agg(F.count("*").alias("above"))
         depth = self.types.filter("kind = 'class'").select(F.col("type").alias("declaring")).join(classes_above.withColumnRenamed("src", "declaring"), "declaring", "left").select("declaring", (1 + F.coalesce("above", F.lit(0))).alias("depth"))
+        depth = depth.unionByName(self.t["classes"].sparkSession.createDataFrame([(f"java.lang.{n}", d) for n, d in PLATFORM_DEPTH.items()], "declaring string, depth long"))
         called = self.accesses.filter("kind = 'call' and member_kind = 'method' and declaring is not null").select(*METHOD, "declaring").distinct().join(depth, "declaring")
         return called.groupBy(*METHOD).agg(F.count_distinct("depth").alias("CDISP"))
 
     def couplings(self) -> DataFrame:
-        """(class, dst): types that a class depends on, named or reached by calls and fields, those outside the project too, but for itself and its ancestors."""
+        """(class, dst): other types that a class depends on, named or reached by calls and fields, known ones outside the project too."""
         named = self.t["types"].select(*CLASS, "name").distinct()
         targets = type_targets(named, self.t, self.types).filter("target is not null").select("package", "class", F.col("target").alias("dst"))
         reached = self.accesses.filter("declaring is not null and kind in ('call', 'field')").select("package", "class", F.col("declaring").alias("dst"))
         edges = self._with_outer(targets.unionByName(reached).distinct()).select("class", "dst").distinct().filter("class != dst")
-        return edges.join(self.lines.select(F.col("src").alias("class"), "dst"), ["class", "dst"], "left_anti")
+        return edges
+
+    def foreign_couplings(self) -> DataFrame:
+        """``couplings`` without ancestors."""
+        return self.couplings().join(self.lines.select(F.col("src").alias("class"), "dst"), ["class", "dst"], "left_anti")
+
+    def package_edges(self) -> DataFrame:
+        """(src, dst) between packages: where the types come from that a package's classes depend on."""
+        inside = self.types.select(F.col("type").alias("dst"), F.col("package").alias("known"))
+        own = self.t["classes"].select("class", F.col("package").alias("src")).dropDuplicates(["class"])
+        outside = F.regexp_extract("dst", r"^((?:[a-z_][\w$]*\.)*[a-z_][\w$]*)\.[A-Z]", 1)
+        found = self.couplings().join(own, "class").join(inside, "dst", "left").select("src", F.coalesce("known", outside).alias("dst"))
+        return found.filter("dst != '' and src != dst").distinct()
+
+    def sizes(self) -> DataFrame:
+        """(class, SIZE2): instance fields of the class and its direct supertypes, and all its instance methods, those of Object too.
+
+        A class with a supertype that isn't resolved, by itself or further up, counts what it declares.
+        """
+        kinds = self.t["classes"].select("class", "class_kind").dropDuplicates(["class"])
+        fields = members(self.t).filter("mkind = 'f' and not is_static").groupBy("class").agg(F.count("*").alias("fields"))
+        direct = self.clauses.filter("inside").select("class", "target").distinct().join(fields.select(F.col("class").alias("target"), "fields"), "target").groupBy("class").agg(F.sum("fields").alias("more_fields"))
+        methods = self.t["members"].filter((F.col("member_kind") == "method") & ~F.array_contains("modifiers", "static")).select("class", "member").distinct()
+        above = self.lines.select(F.col("src").alias("class"), F.col("dst").alias("ancestor")).join(methods.select(F.col("class").alias("ancestor"), "member"), "ancestor").select("class", "member")
+        objects = kinds.filter("class_kind = 'class'").select("class", F.explode(F.array(*map(F.lit, OBJECT))).alias("member"))
+        own = methods.groupBy("class").agg(F.count("*").alias("own_methods"))
+        every = methods.unionByName(above).unionByName(objects).distinct().groupBy("class").agg(F.count("*").alias("methods"))
+        open_ = self.clauses.filter("target is null").select("class").distinct()
+        broken = open_.unionByName(self.lines.join(open_.withColumnRenamed("class", "dst"), "dst").select(F.col("src").alias("class"))).distinct().withColumn("broken", F.lit(True))
+        out = kinds.select("class")
+        for part in (fields, direct, own, every, broken):
+            out = out.join(part, "class", "left")
+        out = out.na.fill(0, ["fields", "more_fields", "own_methods", "methods"])
+        return out.select("class", F.when(F.col("broken"), F.col("fields") + F.col("own_methods")).otherwise(F.col("fields") + F.col("more_fields") + F.col("methods")).alias("SIZE2"))
+
+    def coupling_metrics(self) -> DataFrame:
+        """Per class: CBO, RFC (null for interfaces), MPC, DAC and WOC."""
+        t, a = self.t, self.accesses
+        imported = t["imports"].filter("op is null or op != '*'").select("path", F.col("name").alias("dst")).join(t["classes"].select("path", "class"), "path").select("class", "dst")
+        marks = t["members"].select(*CLASS, F.explode("annotations").alias("name")).unionByName(t["classes"].select(*CLASS, F.explode("annotations").alias("name"))).distinct()
+        named = t["types"].select(*CLASS, "name").unionByName(marks).distinct()
+        targets = type_targets(named, t, self.types).filter("target is not null").select("package", "class", F.col("target").alias("dst"))
+        called = a.filter("kind = 'call' and declaring is not null").select("package", "class", F.col("declaring").alias("dst"))
+        scope = F.when((F.col("origin") == "scope") & (F.size("steps") == 2), F.substring(F.element_at("steps", 1), 3, 1 << 30))
+        inferred = a.filter("kind = 'call' and declaring is null").select("package", "class", scope.alias("name")).filter("name is not null")
+        guessed = F.create_map(*(F.lit(x) for n in INFERRED for x in (n.rpartition(".")[2], n)))
+        inferred = inferred.select("package", "class", guessed[F.col("name")].alias("dst")).filter("dst is not null")
+        referred = a.filter("kind = 'reference' and names_type is not null").select("package", "class", F.col("names_type").alias("dst"))
+        coupled = self._with_outer(targets.unionByName(called).unionByName(inferred).unionByName(referred).distinct()).select("class", "dst").unionByName(imported).distinct()
+        cbo = coupled.filter("class != dst").groupBy("class").agg(F.count("*").alias("CBO"))
+
+        # a class's own text only: nested declarations answer for themselves
+        declared = t["members"].filter("member_kind != 'field'").select("class", F.concat_ws("#", "class", F.regexp_replace("member", "<[^()]*>| ", "")).alias("target")).distinct()
+        signature = self.t["members"].filter("member_kind = 'method'").groupBy(F.col("class").alias("declaring"), F.col("name").alias("last"), F.col("params").alias("arity")).agg(F.min(F.regexp_replace("member", "<[^()]*>| ", "")).alias("text"))
+        calls = a.filter("kind = 'call' and declaring is not null").select("class", "declaring", "last", "arity").distinct().join(signature, ["declaring", "last", "arity"], "left")
+        calls = calls.select("class", F.concat_ws("#", "declaring", F.coalesce("text", F.concat_ws("/", "last", F.col("arity").cast("string")))).alias("target"))
+        made = a.filter("kind in ('new', 'explicit-call') and declaring is not null").select("class", "declaring", F.substring(F.element_at("steps", -1), 3, 9).cast("long").alias("arity")).distinct()
+        constructor = self.t["members"].filter("member_kind = 'constructor'").groupBy(F.col("class").alias("declaring"), F.col("params").alias("arity")).agg(F.min(F.regexp_replace("member", "<[^()]*>| ", "")).alias("text"))
+        made = made.join(constructor, ["declaring", "arity"], "left").select("class", F.concat_ws("#", "declaring", F.coalesce("text", F.concat(F.lit("new/"), F.col("arity").cast("string")))).alias("target"))
+        referred = a.filter("kind = 'reference' and names_type is not null").select("class", F.concat_ws("#", "names_type", F.concat(F.col("name"), F.lit("()"))).alias("target"))
+        rfc = declared.unionByName(calls).unionByName(made).unionByName(referred).distinct().groupBy("class").agg(F.count("*").alias("RFC"))
+
+        passing = a.filter("kind = 'call' and declaring is not null").select("package", "class", "declaring")
+        mpc = self._with_outer(passing).filter("class != declaring").groupBy("class").agg(F.count("*").alias("MPC"))
+
+        held = t["nodes"].filter("member_kind = 'field' and kind = 'variable'").select(*CLASS, "type").distinct().filter(_dims(F.col("type")) == 0).select(*CLASS, _bare(F.col("type")).alias("name")).distinct()
+        dac = type_targets(held, t, self.types).filter("target is not null").select("class", "target").distinct().groupBy("class").agg(F.count("*").alias("DAC"))
+
+        name, params, shape, returns = F.col("name"), F.col("params"), F.col("kind"), F.col("type")
+        direct = (params == 0) & (shape == "return-name")
+        accessor = (name.startswith("get") & direct & (returns != "void")) | (name.startswith("is") & direct & (returns == "boolean")) | (name.startswith("set") & (params == 1) & (returns == "void"))
+        trivial = shape.isin("none", "empty", "return-name", "return-call", "return-nothing", "call", "assign-names")
+        methods = t["members"].filter("member_kind = 'method'")
+        woc = methods.groupBy("class").agg((F.count_if(~accessor & ~name.isin(*BOILERPLATE) & ~trivial) / F.count("*")).alias("WOC"))
+
+        out = t["classes"].select("class", "class_kind").dropDuplicates(["class"])
+        for part in (cbo, rfc, mpc, dac, woc, self.sizes()):
+            out = out.join(part, "class", "left")
+        out = out.na.fill(0, ["CBO", "RFC", "MPC", "DAC"]).na.fill(0.0, ["WOC"])
+        return out.select("class", "CBO", F.when(F.col("class_kind") != "interface", F.col("RFC")).alias("RFC"), "MPC", "DAC", "WOC", "SIZE2")
+
+    def variables_and_callees(self) -> DataFrame:
+        """Per method: NOAV (distinct variables, parameters and fields named) and CINT (distinct methods called)."""
+        t = self.t
+        nodes = t["nodes"].filter("kind != 'statement' and member_kind = 'method'")
+        local = nodes.filter("kind in ('parameter', 'variable', 'lambda-parameter', 'catch', 'instanceof', 'pattern') and name is not null").select(*METHOD, "name").distinct()
+        seen = nodes.filter("kind = 'name'").select(*METHOD, "name").distinct().join(local, [*METHOD, "name"], "left_semi")
+        fields = self.accesses.filter("kind = 'name' and member_kind = 'method' and declaring is not null").select(*METHOD, "name")
+        noav = seen.unionByName(fields).distinct().groupBy(*METHOD).agg(F.count("*").alias("NOAV"))
+        called = self.accesses.filter("kind = 'call' and member_kind = 'method' and declaring is not null").select(*METHOD, "declaring", "last", "arity").distinct()
+        return t["members"].filter("member_kind = 'method'").select(*METHOD).distinct().join(noav, METHOD, "left").join(called.groupBy(*METHOD).agg(F.count("*").alias("CINT")), METHOD, "left").na.fill(0, ["NOAV", "CINT"])
 
     def declared(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """classes (class, package), methods (class, signature, visibility, is_static), fields (class, name, visibility)."""

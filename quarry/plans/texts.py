@@ -34,7 +34,7 @@ _WRAP = "CASE WHEN {x} >= 2147483648 THEN {x} - 4294967296 ELSE {x} END"
 
 
 @register("halstead_effort_wrap", f"""{_COUNTS}, a AS (SELECT *, (n1 * big_n2) % 4294967296 AS p FROM h), b AS (SELECT *, ((({_WRAP.format(x='p')}) * (big_n1 + big_n2)) % 4294967296 + 4294967296) % 4294967296 AS q FROM a)
-SELECT doc_id, ({_WRAP.format(x='q')})::BIGINT AS numerator, round((({_WRAP.format(x='q')})::DOUBLE * (ln(n1 + n2) / ln(2.0))) / (2 * n2), 3) AS effort FROM b""")
+SELECT doc_id, ({_WRAP.format(x='q')})::BIGINT AS numerator, round((({_WRAP.format(x='q')})::DOUBLE * ln(n1 + n2)) / (2 * n2), 3) AS effort FROM b""")
 def halstead_effort_wrap(spark, sf_dir):
     m = T.halstead(_counts(spark, sf_dir))
     numerator = wrap32(wrap32(F.col("n1") * F.col("big_n2")) * (F.col("big_n1") + F.col("big_n2")))

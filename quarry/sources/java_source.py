@@ -136,7 +136,7 @@ def _class(node: Node, base: dict) -> Iterator[dict]:
             body = child.child("block")
             member = base | {"member": key, "member_kind": child.kind}
             yield member | {
-                "row": "member", "name": child.name, "modifiers": list(child.modifiers), "annotations": list(child.annotations), "type": child.type, "line": child.line, "end_line": child.end,
+                "row": "member", "name": child.name, "modifiers": list(child.modifiers), "annotations": list(child.annotations), "type": child.type, "kind": body_shape(child) if child.kind != "field" else None, "line": child.line, "end_line": child.end,
                 "body_line": body and body.line, "body_end": body and body.end, "params": len(params) if child.kind != "field" else sum(c.kind == "variable" for c in child.children),
             }
             yield from _nodes(child, member)
@@ -181,6 +181,12 @@ def _accesses(root: Node, base: dict) -> Iterator[dict]:
         if node.kind in kinds and not (node.kind == "name" and node.name in local) and not (node.kind == "field-access" and node.name in ("this", "super")):
             origin, steps = chain(node, local)
             yield base | {"row": "access", "kind": kinds[node.kind], "name": node.name, "origin": origin, "steps": steps, "line": node.line}
+        elif node.kind in ("new", "explicit-call"):
+            arguments = len(node.children) - sum(c.kind == "anonymous" for c in node.children)
+            yield base | {"row": "access", "kind": node.kind, "name": node.type or node.name, "origin": f"type:{node.type}" if node.kind == "new" else node.name, "steps": [f"n:{arguments}"], "line": node.line}
+        elif node.kind == "method-reference":
+            origin, steps = chain(node.children[0], local)
+            yield base | {"row": "access", "kind": "reference", "name": node.name, "origin": origin, "steps": steps or ["t:"], "line": node.line}
 
 
 def chain(node: Node, local: dict[str, str]) -> tuple[str, list[str]]:
@@ -235,27 +241,51 @@ def _type_names(root: Node) -> set[str]:
 
 
 #: Nodes that count as statements.
-STATEMENTS = frozenset("if switch for foreach while do return throw break continue try synchronized assert yield label expression locals local-class explicit-call".split())
+STATEMENTS = frozenset("if switch for foreach while do return throw break continue try synchronized assert yield label expression locals local-class".split())
 
 
 def _statements(root: Node, base: dict) -> Iterator[dict]:
-    """Rows of kind ``statement`` for what a class itself holds: nested declarations count for themselves."""
-    stack = [(c, root) for c in reversed(root.children)]
+    """Rows of kind ``statement`` for what a class itself holds: nested classes and interfaces count for themselves.
+
+    Bodies of anonymous classes, enums and records count their statements, not their members. Statements whose nearest
+    lambda is an expression don't count, nor do the variables of ``foreach`` and ``try`` headers.
+    """
+    stack = [(c, root, False, True) for c in reversed(root.children)]
     while stack:
-        node, parent = stack.pop()
-        if node.kind in ("class", "interface", "enum", "record", "annotation", "anonymous"):
+        node, parent, hidden, own = stack.pop()
+        if node.kind in ("class", "interface"):
             continue
-        count = (node.kind in STATEMENTS) + (node.kind in ("if", "try") and node.op in ("else", "finally")) + (node.kind in ("entry", "catch", "method", "constructor"))
-        if node.kind == "for-init":
-            count += max(0, len(node.children) - 1) if node.children[0].kind != "locals" else len(node.children[0].children) - 1
-        elif node.kind == "for-update":
+        header = node.kind == "locals" and parent.kind in ("foreach", "try")
+        count = node.kind in STATEMENTS and not hidden and not header
+        count += (node.kind in ("if", "try") and node.op in ("else", "finally")) + (node.kind in ("entry", "catch"))
+        if own and parent is root:
+            count += node.kind in ("method", "constructor")
+            count += sum(c.kind == "variable" for c in node.children) if node.kind == "field" else 0
+        if node.kind == "for-update":
             count += len(node.children)
-        elif node.kind == "field":
-            count += sum(c.kind == "variable" for c in node.children)
         if count:
             yield base | {"row": "node", "kind": "statement", "params": count, "line": node.line}
-        if not (node.kind == "lambda" and node.op == "expression"):
-            stack += [(c, node) for c in reversed(node.children)]
+        if node.kind == "lambda":
+            hidden = node.op == "expression"
+        stack += [(c, node, hidden, own) for c in reversed(node.children)]
+
+
+def body_shape(node: Node) -> str:
+    """What a method's body amounts to: none, empty, many, or the form of its only statement."""
+    body = node.child("block")
+    if body is None:
+        return "none"
+    if len(body.children) != 1:
+        return "many" if body.children else "empty"
+    only = body.children[0]
+    inner = only.children[0] if only.children else None
+    if only.kind == "return":
+        return "return-" + (inner.kind if inner is not None and inner.kind in ("name", "call") else "other" if inner is not None else "nothing")
+    if only.kind == "expression" and inner.kind == "call":
+        return "call"
+    if only.kind == "expression" and inner.kind == "assign" and all(c.kind == "name" for c in inner.children):
+        return "assign-names"
+    return "other"
 
 
 def _simple(type_: str) -> str:
@@ -265,9 +295,12 @@ def _simple(type_: str) -> str:
 def tokens(root: Node) -> Iterator[tuple[str, str]]:
     """(operator or operand, text) of everything below a member or class."""
     words = {"if": ["if"], "for": ["for"], "foreach": ["for"], "while": ["while"], "do": ["do", "while"], "switch": ["switch"], "switch-expression": ["switch"], "return": ["return"], "throw": ["throw"], "break": ["break"], "continue": ["continue"], "try": ["try"], "catch": ["catch"]}
+    literals = {id(c) for node in root.walk() if node.kind == "class-literal" for c in node.children}
     for node in root.walk():
         kind = node.kind
         yield from (("operator", w) for w in words.get(kind, ()))
+        if kind in ("class", "interface", "enum", "record"):
+            yield from (("operator", name) for text in (*node.extends, *node.implements) for name in NAMES.findall(text) if name not in ("extends", "super"))
         if kind == "entry":
             labels = [c for c in node.children if c.kind not in ("block", "throw") and not (c.kind in STATEMENTS or c.kind == "empty")]
             yield from (("operator", w) for w in (["default"] if node.op == "default" else ["case"] * max(1, len(labels))))
@@ -279,7 +312,9 @@ def tokens(root: Node) -> Iterator[tuple[str, str]]:
         elif kind == "call":
             yield "operator", "()"
             yield "operand", node.name
-        elif kind == "name":
+        elif kind == "class-literal" and node.children[0].kind == "name":
+            yield "operator", node.children[0].name
+        elif kind == "name" and id(node) not in literals:
             yield "operand", node.name
         elif kind == "literal" and node.op not in ("long", "block"):
             yield "operand", node.name
