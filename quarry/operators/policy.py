@@ -33,12 +33,20 @@ def satisfied(metrics: DataFrame, conditions: DataFrame) -> DataFrame:
 
 
 def evaluate(metrics: DataFrame, entities: DataFrame, conditions: DataFrame) -> DataFrame:
-    """(rule, entity_id, status): MATCH, NONMATCH, or UNAVAILABLE where a needed metric is absent or undefined."""
-    wanted = entities.select("entity_id").crossJoin(conditions)
-    joined = wanted.join(metrics.select("entity_id", "code", "value"), ["entity_id", "code"], "left")
-    ok = F.coalesce(V.contains(F.col("value"), F.col("min"), F.col("max")) & F.col("value").isNotNull(), F.lit(False))
-    status = F.when(~F.bool_and(F.col("value").isNotNull()), "UNAVAILABLE").when(F.bool_and(ok), "MATCH").otherwise("NONMATCH")
-    return joined.groupBy("rule", "entity_id").agg(status.alias("status"))
+    """(rule, entity_id, status): MATCH, NONMATCH, or UNAVAILABLE where a needed metric is absent, undefined or no finite number.
+
+    The needed values of an entity are gathered first, so that every rule is decided within the row; rules are few,
+    and each is a row of the result for each entity anyway.
+    """
+    needed = conditions.select("code").distinct()
+    sound = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    values = metrics.join(needed, "code", "left_semi").filter(sound).groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "value"))).alias("values"))
+    rules = conditions.groupBy("rule").agg(F.collect_list(F.struct("code", "min", "max")).alias("conditions"))
+    joined = entities.select("entity_id").join(values, "entity_id", "left").crossJoin(rules)
+    value = lambda c: F.element_at("values", c["code"])
+    there = F.coalesce(F.forall("conditions", lambda c: value(c).isNotNull()), F.lit(False))
+    holds = F.forall("conditions", lambda c: V.contains(value(c), c["min"], c["max"]))
+    return joined.select("rule", "entity_id", F.when(~there, "UNAVAILABLE").when(holds, "MATCH").otherwise("NONMATCH").alias("status"))
 
 
 def rule_problems(conditions: DataFrame, known: DataFrame) -> DataFrame:
@@ -59,6 +67,19 @@ def baseline_compare(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select("entity_id", "code", F.col("n.value").alias("value"), F.col("o.value").alias("base_value"), status.alias("status"))
 
 
+def baseline_rows(rows: DataFrame) -> DataFrame:
+    """``baseline_compare`` of rows (entity_id, code, value, base_value, min, max) that hold both sides."""
+    low, high = F.col("min"), F.col("max")
+    broken = lambda v: F.when(~V.contains(v, low, high), v)  # noqa: E731 - null where there is no value or it passes
+    both = rows.select("entity_id", "code", "min", "max", broken(F.col("value")).alias("value"), broken(F.col("base_value")).alias("base_value")).filter("value is not null or base_value is not null")
+    now, old = V.overshoot(F.col("value"), low, high), V.overshoot(F.col("base_value"), low, high)
+    status = (
+        F.when(F.col("value").isNull(), "RESOLVED").when(F.col("base_value").isNull(), "NEW_VIOLATION")
+        .when(now > old + 1e-9, "DEGRADED").when(F.abs(now - old) < 1e-9, "UNCHANGED").otherwise("IMPROVED")
+    )
+    return both.select("entity_id", "code", "value", "base_value", status.alias("status"))
+
+
 def gate(base: DataFrame, current: DataFrame, thresholds: DataFrame, growth: DataFrame, fail_on: list[str]) -> DataFrame:
     """Findings of a two-revision gate over metric rows (entity_id, code, value).
 
@@ -66,12 +87,17 @@ def gate(base: DataFrame, current: DataFrame, thresholds: DataFrame, growth: Dat
     beyond a budget, or (if neither grew nor crossed) have worsened. ``blocking``: the type is in ``fail_on``.
     """
     base, current = (dedupe_last(df, ["entity_id", "code"], [F.col("seq")]).drop("seq") if "seq" in df.columns else df for df in (base, current))
-    now = current.join(base.select("entity_id").distinct().withColumn("old_entity", F.lit(True)), "entity_id", "left")
-    now = now.join(base.withColumnRenamed("value", "base_value"), ["entity_id", "code"], "left").join(thresholds, "code", "left").join(growth, "code", "left")
+    now = current.join(base.select("entity_id").distinct().withColumn("old_entity", F.lit(True)), "entity_id", "left").na.fill(False, ["old_entity"])
+    return gate_rows(now.join(base.withColumnRenamed("value", "base_value"), ["entity_id", "code"], "left"), thresholds, growth, fail_on)
+
+
+def gate_rows(rows: DataFrame, thresholds: DataFrame, growth: DataFrame, fail_on: list[str]) -> DataFrame:
+    """``gate`` of rows (entity_id, code, value, base_value, old_entity) that hold both revisions; without a value there is no finding."""
+    now = rows.filter("value is not null").join(thresholds, "code", "left").join(growth, "code", "left")
     value, was, low, high, budget = (F.col(c) for c in ("value", "base_value", "min", "max", "budget"))
     has_threshold = low.isNotNull() | high.isNotNull()
     out = has_threshold & ~V.contains(value, low, high)
-    new = F.col("old_entity").isNull() & out
+    new = ~F.col("old_entity") & out
     both = was.isNotNull()
     crossing = both & out & V.contains(was, low, high)
     grown = both & budget.isNotNull() & (value - was > budget)
@@ -163,5 +189,42 @@ def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change"))
 
 
+def manifest_digest(manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, digest and files of manifests (keys, path, sha256): SHA-256 over the digests of 4,096 ranges of path hashes.
+
+    A range's entries are ordered and joined in one task, and then the ranges' digests: no task holds all entries.
+    """
+    entry = F.concat_ws(":", "path", "sha256")
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    ranges = manifest.groupBy(*keys, F.substring(F.md5("path"), 1, 3).alias("__range")).agg(joined(entry).alias("__digest"), F.count("*").alias("__n"))
+    return ranges.groupBy(*keys).agg(joined(F.concat_ws(":", "__range", "__digest")).alias("digest"), F.sum("__n").alias("files"))
+
+
+def suppressed(findings: DataFrame, suppressions: DataFrame, day: Column) -> DataFrame:
+    """``findings`` (entity_id, code, type) with ix of the first suppression (ix, rule, entity_id, expires) of their rule and entity that is active on ``day``."""
+    active = suppressions.filter(F.coalesce(day <= F.col("expires"), F.lit(True))).select("ix", F.col("rule").alias("type"), "entity_id")
+    return findings.join(active, ["type", "entity_id"]).groupBy("entity_id", "code", "type").agg(F.min("ix").alias("ix"))
+
+
+def suppression_status(applied: DataFrame, suppressions: DataFrame, day: Column) -> DataFrame:
+    """(ix, rule, entity_id, status) of every suppression: APPLIED, STALE (over before ``day``) or UNUSED."""
+    used = applied.select("ix", F.col("type").alias("rule"), "entity_id", F.lit(True).alias("used")).distinct()
+    status = F.when(F.col("used"), "APPLIED").when(F.col("expires") < day, "STALE").otherwise("UNUSED")
+    return suppressions.join(used, ["ix", "rule", "entity_id"], "left").select("ix", "rule", "entity_id", status.alias("status"))
+
+
+def findings_summary(findings: DataFrame) -> DataFrame:
+    """One row of counters over gate findings, and whether they reconcile."""
+    kind, level = F.col("type"), F.col("severity")
+    counts = findings.agg(
+        F.count("*").alias("total"), F.count_if("blocking").alias("blocking"), F.count_if(~F.col("blocking")).alias("advisory"), F.count_distinct("entity_id").alias("entities"),
+        *(F.count_if(level == s).alias(s) for s in ("high", "medium", "low")), F.count_if(level.isNull()).alias("unrated"),
+        *(F.count_if(kind == k).alias(n) for k, n in (("NEW_VIOLATION", "fresh"), ("THRESHOLD_CROSSING", "crossing"), ("GROWTH_BUDGET", "grown"), ("WORSENED", "worsened"))),
+    )
+    total = F.col("total")
+    sums = (F.expr("blocking + advisory") == total) & (F.expr("high + medium + low + unrated") == total) & (F.expr("fresh + crossing + grown + worsened") == total)
+    return counts.withColumn("reconciled", sums)
+
+
 def status_fold(failed: Column, incomplete: Column) -> Column:
     return F.when(failed > 0, "FAILED").when(incomplete > 0, "INCOMPLETE").otherwise("PASSED")

@@ -51,6 +51,29 @@ def z_scores(df: DataFrame, values: dict[str, tuple[Column, bool]]) -> DataFrame
     return found.agg(*(F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in values))
 
 
+#: Methods of a class whose pairs are counted within its row; a larger class's pairs are found by joins.
+LARGE_CLASS = 400
+
+
+def tight_cohesion(used: DataFrame, large: int = LARGE_CLASS) -> DataFrame:
+    """class, methods, connected and tcc from distinct (class, method, field): connected pairs of methods over all pairs.
+
+    A class's methods are gathered as arrays of fields and compared within the row; only classes with more than
+    ``large`` methods join their uses by field.
+    """
+    by_method = used.groupBy("class", "method").agg(F.collect_list("field").alias("fields"))
+    by_class = by_method.groupBy("class").agg(F.count("*").alias("methods"), F.slice(F.collect_list("fields"), 1, large + 1).alias("sets"))
+    later = lambda i: F.slice("sets", i + 2, F.lit(large + 1))
+    met = F.aggregate("sets", F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("n")), lambda acc, own: F.struct((acc["i"] + 1).alias("i"), (acc["n"] + F.size(F.filter(later(acc["i"]), lambda o: F.arrays_overlap(o, own)))).alias("n")))["n"]
+    small = by_class.filter(F.col("methods") <= large).select("class", "methods", met.alias("connected"))
+    big = by_class.filter(F.col("methods") > large).select("class", "methods")
+    uses = used.join(big.select("class"), "class", "left_semi")
+    a, b = (uses.select("class", "field", F.col("method").alias(s)) for s in "ab")
+    pairs = a.join(b, ["class", "field"]).filter("a < b").select("class", "a", "b").distinct().groupBy("class").agg(F.count("*").alias("connected"))
+    counted = small.unionByName(big.join(pairs, "class", "left").select("class", "methods", F.coalesce("connected", F.lit(0)).alias("connected")))
+    return counted.withColumn("tcc", F.when(F.col("methods") < 2, 0.0).otherwise(F.col("connected").cast("double") / (F.col("methods") * (F.col("methods") - 1) / 2)))
+
+
 def coupling(edges: DataFrame, packages: DataFrame) -> DataFrame:
     """package, ce, ca, instability from dependency edges (src, dst) between different packages."""
     foreign = edges.filter("src != dst").distinct()

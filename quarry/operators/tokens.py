@@ -12,10 +12,15 @@ OPERATORS = ("the", "of", "and", "in", "to", "de", "la", "le", "der", "die", "qu
 TOKEN = r"[^ \n.,]+"
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, token, is_operator for each word of each text."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("token"))
-    return words.withColumn("is_operator", F.col("token").isin(*OPERATORS))
+def text_counts(docs: DataFrame) -> DataFrame:
+    """n1, n2, N1, N2 as ``halstead_counts`` has them, of the words of each text: from arrays of the row itself, without a shuffle."""
+    split = docs.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("words"))
+    split = split.select("doc_id", "words", F.filter("words", lambda w: w.isin(*OPERATORS)).alias("ops"))
+    counts = split.select(
+        "doc_id", F.size(F.array_distinct("ops")).cast("long").alias("n1"), (F.size(F.array_distinct("words")) - F.size(F.array_distinct("ops"))).cast("long").alias("n2"),
+        F.size("ops").cast("long").alias("big_n1"), (F.size("words") - F.size("ops")).cast("long").alias("big_n2"),
+    )
+    return counts.filter("n1 > 0 and n2 > 0")
 
 
 def halstead_counts(token_rows: DataFrame, key: str = "doc_id") -> DataFrame:

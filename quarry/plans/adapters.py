@@ -31,11 +31,10 @@ r AS (
 """
 TREE_SQL = "e AS (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey >= 2)"
 PACKAGE_EDGES_SQL = """
-pe AS (
-  SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
-  WHERE l_quantity >= 50 AND l_discount >= 0.09
-)
+pv AS (
+  SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity::BIGINT)::BIGINT AS volume
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL
+), pe AS (SELECT src, dst FROM pv WHERE volume * (SELECT count(*) FROM pv) > (SELECT sum(volume) FROM pv)::BIGINT)
 """
 
 
@@ -65,18 +64,36 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.long_form(classes(spark, sf_dir), "class", "class", "package", ["NOM", "WMC", "CLOC", "CCC"])
 
 
-def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(base, current) metric rows (entity_id, code, value): filled orders against open ones."""
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", "o_custkey", "o_orderstatus")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+def both_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id with NOMb, WMCb, NOMn and WMCn: filled orders as the base, open ones as the current revision; null where an entity isn't in one.
+
+    One pass: line items meet their orders and parts once, and each revision is a condition of the sums.
+    """
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").alias("base"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    wide = (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("o_orderstatus", F.concat_ws("/", F.col("o_custkey").cast("string"), "p_brand").alias("entity_id"))
-        .agg(F.count("*").alias("NOM"), F.sum(F.col("l_quantity").cast("long")).alias("WMC"))
+    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    base = F.col("base")
+    sums = joined.groupBy("o_custkey", "p_brand").agg(
+        F.count_if(base).alias("b"), F.sum(F.when(base, F.col("quantity"))).alias("WMCb"), F.count_if(~base).alias("n"), F.sum(F.when(~base, F.col("quantity"))).alias("WMCn")
+    )
+    known = lambda n: F.when(F.col(n) > 0, F.col(n).cast("double"))
+    return sums.select(
+        F.concat_ws("/", F.col("o_custkey").cast("string"), "p_brand").alias("entity_id"), known("b").alias("NOMb"), F.col("WMCb").cast("double").alias("WMCb"), known("n").alias("NOMn"), F.col("WMCn").cast("double").alias("WMCn")
     )
-    rows = wide.select("o_orderstatus", "entity_id", F.explode(F.create_map(F.lit("NOM"), F.col("NOM").cast("double"), F.lit("WMC"), F.col("WMC").cast("double"))).alias("code", "value"))
-    return tuple(rows.filter(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("F", "O"))
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, code, value, base_value, old_entity): current metric rows with what they were, null where an entity is new or gone."""
+    pair = lambda c: F.struct(F.lit(c).alias("code"), F.col(f"{c}n").alias("value"), F.col(f"{c}b").alias("base_value"))
+    rows = both_revisions(spark, sf_dir).select("entity_id", F.explode(F.array(pair("NOM"), pair("WMC"))).alias("m"))
+    return rows.select("entity_id", "m.*", F.col("m.base_value").isNotNull().alias("old_entity"))
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(base, current) metric rows (entity_id, code, value): filled orders against open ones."""
+    rows = compared(spark, sf_dir)
+    return rows.select("entity_id", "code", F.col("base_value").alias("value")).filter("value is not null"), rows.select("entity_id", "code", "value").filter("value is not null")
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +102,15 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.09").select("l_orderkey", "l_suppkey")
+    """(src, dst): nations between which more than the average quantity of all pairs was traded."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("long").alias("quantity"))
     orders, customers = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    joined = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+    sold = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "s_nationkey").agg(F.sum("quantity").alias("quantity"))
+    joined = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    traded = joined.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("quantity").alias("volume"))
+    total = traded.agg(F.sum("volume").alias("total"), F.count("*").alias("pairs"))  # one row
+    return traded.crossJoin(F.broadcast(total)).filter(F.col("volume") * F.col("pairs") > F.col("total")).select("src", "dst")
 
 
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

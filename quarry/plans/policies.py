@@ -90,14 +90,10 @@ d AS (SELECT coalesce(nv.entity_id, bv.entity_id) AS entity_id, coalesce(nv.code
   FROM nv FULL JOIN bv ON nv.entity_id = bv.entity_id AND nv.code = bv.code)"""
 
 
-def _violating(spark, metrics):
-    checked = P.violations(metrics, A.dimension(spark, GATE_T, BOUNDS))
-    return checked.filter("not passed").select("entity_id", "code", "value", "min", "max")
-
-
 def _compared(spark, sf_dir):
-    base, now = A.revisions(spark, sf_dir)
-    return P.baseline_compare(_violating(spark, now), _violating(spark, base))
+    """Violations of either revision, from one pass over both."""
+    rows = A.compared(spark, sf_dir).join(A.dimension(spark, GATE_T, BOUNDS), "code")
+    return P.baseline_rows(rows)
 
 
 @register("baseline_compare", f"{_BASE} SELECT * FROM d")
@@ -121,22 +117,23 @@ gf AS (SELECT entity_id, code, type, was AS base_value, value, CASE WHEN x IS NO
 
 
 def _gate(spark, sf_dir):
-    base, now = A.revisions(spark, sf_dir)
-    return P.gate(base, now, A.dimension(spark, GATE_T, BOUNDS), A.dimension(spark, [("WMC", 50.0)], "code string, budget double"), ["NEW_VIOLATION", "THRESHOLD_CROSSING"])
+    return P.gate_rows(A.compared(spark, sf_dir), A.dimension(spark, GATE_T, BOUNDS), A.dimension(spark, [("WMC", 50.0)], "code string, budget double"), ["NEW_VIOLATION", "THRESHOLD_CROSSING"])
 
 
 for _name, _kind in (("gate_new", "NEW_VIOLATION"), ("gate_crossing", "THRESHOLD_CROSSING"), ("gate_growth", "GROWTH_BUDGET"), ("gate_worsened", "WORSENED")):
     register(_name, f"{_GATE} SELECT * FROM gf WHERE type = '{_kind}'")(lambda spark, sf_dir, kind=_kind: _gate(spark, sf_dir).filter(F.col("type") == kind))
 
 
-@register("gate_ranked", f"{_GATE} SELECT * FROM gf ORDER BY blocking DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END DESC NULLS LAST, magnitude DESC NULLS LAST, code, entity_id, type LIMIT 20")
+@register("gate_ranked", f"{_GATE} SELECT * FROM gf ORDER BY blocking DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END DESC NULLS LAST, magnitude DESC NULLS LAST, code, entity_id, type")
 def gate_ranked(spark, sf_dir):
-    return P.ranked(_gate(spark, sf_dir)).limit(20)
+    return P.ranked(_gate(spark, sf_dir))
 
 
-@register("findings_summary", f"{_GATE} SELECT count(*) AS total, count(*) FILTER (blocking) AS blocking, count(DISTINCT entity_id) AS entities, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity IS NULL) AS unrated FROM gf")
+@register("findings_summary", f"""{_GATE} SELECT count(*) AS total, count(*) FILTER (blocking) AS blocking, count(*) FILTER (NOT blocking) AS advisory, count(DISTINCT entity_id) AS entities, count(*) FILTER (severity = 'high') AS high,
+count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity IS NULL) AS unrated, count(*) FILTER (type = 'NEW_VIOLATION') AS fresh, count(*) FILTER (type = 'THRESHOLD_CROSSING') AS crossing,
+count(*) FILTER (type = 'GROWTH_BUDGET') AS grown, count(*) FILTER (type = 'WORSENED') AS worsened, true AS reconciled FROM gf""")
 def findings_summary(spark, sf_dir):
-    return _gate(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if("blocking").alias("blocking"), F.count_distinct("entity_id").alias("entities"), F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity").isNull()).alias("unrated"))
+    return P.findings_summary(_gate(spark, sf_dir))
 
 
 @register("status_fold", f"{_GATE} SELECT CASE WHEN count(*) FILTER (blocking) > 0 THEN 'FAILED' WHEN count(*) FILTER (severity IS NULL) > 0 THEN 'INCOMPLETE' ELSE 'PASSED' END AS status, CASE WHEN count(*) FILTER (blocking) > 0 THEN 1 WHEN count(*) FILTER (severity IS NULL) > 0 THEN 2 ELSE 0 END AS exit_code FROM gf")
@@ -147,19 +144,19 @@ def status_fold(spark, sf_dir):
 
 
 _ENT_SQL = """
-be AS (SELECT DISTINCT c_nationkey::VARCHAR AS path, p_brand AS name FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F' AND l_quantity > 48),
-ce AS (SELECT DISTINCT c_nationkey::VARCHAR AS path, p_brand AS name FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'O' AND l_quantity > 48),
+be AS (SELECT DISTINCT c_nationkey::VARCHAR AS path, p_brand || '/' || p_size || '/' || p_type AS name FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'),
+ce AS (SELECT DISTINCT c_nationkey::VARCHAR AS path, p_brand || '/' || p_size || '/' || p_type AS name FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'O'),
 mv AS (SELECT n_nationkey::VARCHAR AS old_path, ((n_nationkey + 1) % 25)::VARCHAR AS new_path FROM nation WHERE n_nationkey % 2 = 0)
 """
 
 
 def _entities(spark, sf_dir):
     orders = A.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    items = A.table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select("l_orderkey", "l_partkey")
+    items = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     joined = (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(A.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(A.table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .select("o_orderstatus", F.col("c_nationkey").cast("string").alias("path"), F.col("p_brand").alias("name")).distinct()
+        .join(A.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), "p_type").alias("name")), F.col("l_partkey") == F.col("p_partkey"))
+        .select("o_orderstatus", F.col("c_nationkey").cast("string").alias("path"), "name").distinct()
     )
     moves = A.table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("old_path"), ((F.col("n_nationkey") + 1) % 25).cast("string").alias("new_path"), F.col("n_nationkey").alias("seq"))
     return *(joined.filter(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("F", "O")), moves
@@ -190,9 +187,7 @@ WHEN sb <> 'MATCH' AND sn = 'MATCH' THEN 'INTRODUCED' WHEN sb = 'MATCH' AND sn <
 
 
 def _both_revisions(spark, sf_dir):
-    base, now = A.revisions(spark, sf_dir)
-    wide = lambda df, s: df.groupBy("entity_id").agg(*(F.max(F.when(F.col("code") == c, F.col("value"))).alias(f"{c}{s}") for c in ("WMC", "NOM")))
-    return wide(now, "n").join(wide(base, "b"), "entity_id", "full")
+    return A.both_revisions(spark, sf_dir)
 
 
 def _columns(suffix):
@@ -227,31 +222,37 @@ def rule_evaluate(spark, sf_dir):
     return P.evaluate(known, metrics.select("entity_id").distinct(), A.dimension(spark, RULES, RULE_SCHEMA))
 
 
-SUPPRESSIONS = [(0, "%Brand#1", "2026-01-31"), (1, "1%", "2024-01-01"), (2, "%Brand#2", "2027-01-01"), (3, "%Brand#13%", "2027-01-01"), (4, "nothing", "2027-01-01")]
-_SUPP = f"""{_GATE}, sp(ix, pattern, expires) AS (VALUES (0, '%Brand#1', DATE '2026-01-31'), (1, '1%', DATE '2024-01-01'), (2, '%Brand#2', DATE '2027-01-01'), (3, '%Brand#13%', DATE '2027-01-01'), (4, 'nothing', DATE '2027-01-01')),
-ap AS (SELECT entity_id, code, type, min(ix) AS ix FROM gf JOIN sp ON entity_id LIKE pattern AND DATE '2026-01-15' <= expires WHERE blocking GROUP BY ALL)"""
+_DAY = "2026-01-15"
+_SUPP = f"""{_GATE}, bf AS (SELECT * FROM gf WHERE blocking), sp(ix, rule, entity_id, expires) AS (
+SELECT 2 * (hash_ix % 50), type, entity_id, CASE hash_ix % 3 WHEN 0 THEN DATE '2026-01-31' WHEN 1 THEN DATE '2024-01-01' END FROM (SELECT type, entity_id, length(entity_id) + ascii(right(entity_id, 1)) * 7 + ascii(entity_id) * 13 AS hash_ix FROM bf WHERE code = 'WMC' AND right(entity_id, 1) IN ('1', '4'))
+UNION ALL SELECT 1, 'NEW_VIOLATION', 'nothing', NULL),
+ap AS (SELECT bf.entity_id, code, type, min(ix) AS ix FROM bf JOIN sp ON sp.entity_id = bf.entity_id AND sp.rule = bf.type AND coalesce(DATE '2026-01-15' <= expires, true) GROUP BY ALL)"""
+
+
+def _suppressions(spark, found):
+    """Hand-written entries stand for a rule and an entity exactly; here they are drawn from the findings by their own text."""
+    ix = F.length("entity_id") + F.ascii(F.right("entity_id", F.lit(1))) * 7 + F.ascii("entity_id") * 13
+    day = F.when(ix % 3 == 0, F.lit("2026-01-31")).when(ix % 3 == 1, F.lit("2024-01-01")).cast("date")
+    drawn = found.filter((F.col("code") == "WMC") & F.right("entity_id", F.lit(1)).isin("1", "4")).select((2 * (ix % 50)).alias("ix"), F.col("type").alias("rule"), "entity_id", day.alias("expires"))
+    return drawn.unionByName(A.dimension(spark, [(1, "NEW_VIOLATION", "nothing")], "ix int, rule string, entity_id string").withColumn("expires", F.lit(None).cast("date")))
 
 
 def _suppressed(spark, sf_dir):
-    """Blocking findings with the first active suppression that fits; the day is a parameter, not the clock."""
-    rules = A.dimension(spark, SUPPRESSIONS, "ix int, pattern string, expires string").withColumn("expires", F.to_date("expires"))
+    """Blocking findings with the first active suppression of their rule and entity; the day is a parameter, not the clock."""
     found = _gate(spark, sf_dir).filter("blocking").select("entity_id", "code", "type")
-    fits = F.expr("entity_id like pattern") & (F.lit("2026-01-15").cast("date") <= F.col("expires"))
-    return found.join(F.broadcast(rules), fits), rules  # a suppression list is written by hand
+    rules = _suppressions(spark, found)
+    return P.suppressed(found, rules, F.lit(_DAY).cast("date")), rules
 
 
 @register("suppression_apply", f"{_SUPP} SELECT entity_id, code, type, ix FROM ap")
 def suppression_apply(spark, sf_dir):
-    joined, _ = _suppressed(spark, sf_dir)
-    return joined.groupBy("entity_id", "code", "type").agg(F.min("ix").alias("ix"))
+    return _suppressed(spark, sf_dir)[0]
 
 
-@register("suppression_status", f"{_SUPP} SELECT sp.ix, CASE WHEN sp.ix IN (SELECT ix FROM ap) THEN 'APPLIED' WHEN expires < DATE '2026-01-15' THEN 'STALE' ELSE 'UNUSED' END AS status FROM sp")
+@register("suppression_status", f"{_SUPP} SELECT sp.ix, sp.rule, sp.entity_id, CASE WHEN (sp.ix, sp.rule, sp.entity_id) IN (SELECT (ix, type, entity_id) FROM ap) THEN 'APPLIED' WHEN expires < DATE '2026-01-15' THEN 'STALE' ELSE 'UNUSED' END AS status FROM sp")
 def suppression_status(spark, sf_dir):
-    joined, rules = _suppressed(spark, sf_dir)
-    used = joined.groupBy("entity_id", "code", "type").agg(F.min("ix").alias("ix")).select("ix", F.lit(True).alias("used")).distinct()
-    status = F.when(F.col("used"), "APPLIED").when(F.col("expires") < F.lit("2026-01-15").cast("date"), "STALE").otherwise("UNUSED")
-    return rules.join(used, "ix", "left").select("ix", status.alias("status"))
+    applied, rules = _suppressed(spark, sf_dir)
+    return P.suppression_status(applied, rules, F.lit(_DAY).cast("date"))
 
 
 @register("finding_baseline_accept", f"{_BASE} SELECT entity_id, code, status, status IN ('UNCHANGED', 'IMPROVED') AS accepted FROM d WHERE status <> 'RESOLVED'")
@@ -261,8 +262,7 @@ def finding_baseline_accept(spark, sf_dir):
 
 @register("stale_baseline", f"{_BASE} SELECT entity_id, code FROM bv ANTI JOIN nv USING (entity_id, code)")
 def stale_baseline(spark, sf_dir):
-    base, now = A.revisions(spark, sf_dir)
-    return _violating(spark, base).join(_violating(spark, now), ["entity_id", "code"], "left_anti").select("entity_id", "code")
+    return _compared(spark, sf_dir).filter("status = 'RESOLVED'").select("entity_id", "code")
 
 
 @register("fingerprint_sha256", """SELECT p_partkey, sha256('["v1","MT-C002",1,"v1",' || to_json(p_type)::VARCHAR || ',' || to_json(p_name)::VARCHAR || ',""]') AS fingerprint FROM part""")
@@ -282,10 +282,10 @@ def manifest_diff(spark, sf_dir):
     return P.manifest_diff(before, after)
 
 
-@register("manifest_digest", "SELECT source, sha256(string_agg(doc_id || ':' || h, chr(10) ORDER BY doc_id || ':' || h)) AS digest, count(*) AS files FROM (SELECT source, doc_id, sha256(text) AS h FROM documents) GROUP BY 1")
+@register("manifest_digest", """WITH e AS (SELECT source, doc_id::VARCHAR AS path, sha256(text) AS h FROM documents), r AS (SELECT source, md5(path)[1:3] AS range, sha256(string_agg(path || ':' || h, chr(10) ORDER BY path || ':' || h)) AS d, count(*) AS n FROM e GROUP BY ALL)
+SELECT source, sha256(string_agg(range || ':' || d, chr(10) ORDER BY range)) AS digest, sum(n)::BIGINT AS files FROM r GROUP BY 1""")
 def manifest_digest(spark, sf_dir):
-    entry = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
-    return A.table(spark, sf_dir, "documents").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("digest"), F.count("*").alias("files"))
+    return P.manifest_digest(A.table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256")), ["source"])
 
 
 @register("completeness_required", f"""WITH {A.METHODS_SQL}, w AS (SELECT c_custkey::VARCHAR AS entity_id, u.code FROM customer, (VALUES ('NOM'), ('WMC'), ('DIT')) u(code))
@@ -299,12 +299,13 @@ def completeness_required(spark, sf_dir):
     return missing.groupBy("code", reason.alias("reason")).agg(F.count("*").alias("gaps"))
 
 
-@register("findings_topk", f"{_GATE} SELECT entity_id, code, type, magnitude, count(*) OVER () - 10 AS omitted FROM gf WHERE blocking ORDER BY magnitude DESC, entity_id, code LIMIT 10")
+@register("findings_topk", f"{_GATE} SELECT entity_id, code, type, magnitude, greatest(count(*) OVER () - 20, 0) AS omitted FROM gf WHERE blocking OR type <> 'WORSENED' ORDER BY blocking DESC, magnitude DESC, entity_id, code, type LIMIT 20")
 def findings_topk(spark, sf_dir):
-    """A report of the ten largest blocking findings with the number left out."""
-    found = _gate(spark, sf_dir).filter("blocking").select("entity_id", "code", "type", "magnitude")
-    total = found.agg((F.count("*") - 10).alias("omitted"))
-    return found.orderBy(F.col("magnitude").desc(), "entity_id", "code").limit(10).crossJoin(F.broadcast(total))
+    """The compact report: debt that only drifted is dropped, the first twenty of the rest are shown with the number left out."""
+    found = _gate(spark, sf_dir).filter("blocking or type != 'WORSENED'")
+    total = found.agg(F.greatest(F.count("*") - 20, F.lit(0)).alias("omitted"))
+    top = found.orderBy(F.col("blocking").desc(), F.col("magnitude").desc(), "entity_id", "code", "type").limit(20)
+    return top.select("entity_id", "code", "type", "magnitude").crossJoin(F.broadcast(total))
 
 
 @register("diagnostic_groups", "SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_event FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL")

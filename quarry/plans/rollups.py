@@ -81,11 +81,7 @@ p AS (SELECT max(z) FILTER (name = 'messaging') AS m, max(z) FILTER (name = 'com
 SELECT round(0.5 * m, 6) AS reusability, round(0.25 + 0.5 * k + 0.5 * y, 6) AS flexibility, round(0.33 - 0.33 * y - 0.33 * w, 6) AS understandability,
        round(0.22 * y + 0.22 * m, 6) AS functionality, round(0.5 * y, 6) AS extendibility, round(0.2 + 0.2 * k + 0.2 * y, 6) AS effectiveness FROM p""")
 def qmood_attributes(spark, sf_dir):
-    classes = A.classes(spark, sf_dir)
-    row = None
-    for name, code in (("messaging", "NOM"), ("complexity", "WMC"), ("composition", "CLOC"), ("polymorphism", "CCC")):
-        one = rollup.z_score(classes, code, integral=True).select(F.col("score").alias(name))
-        row = one if row is None else row.crossJoin(F.broadcast(one))  # one row each
+    row = rollup.z_scores(A.classes(spark, sf_dir), {n: (F.col(c), True) for n, c in (("messaging", "NOM"), ("complexity", "WMC"), ("composition", "CLOC"), ("polymorphism", "CCC"))})
     zero = ("coupling", "cohesion", "size", "abstraction", "hierarchies", "inheritance")
     z = {n: F.col(n) for n in row.columns} | {n: F.lit(0.0) for n in zero} | {"encapsulation": F.lit(1.0)}
     return row.select(*(F.round(v, 6).alias(n) for n, v in formulas.design_quality(z).items()))
@@ -189,7 +185,7 @@ def percentile_nearest_rank(spark, sf_dir):
     )
 
 
-@register("display_format", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'N/A' WHEN o_orderkey % 8 = 0 THEN (o_orderkey // 8)::VARCHAR || '.0' ELSE rtrim(format('{:.4f}', o_orderkey / 8.0::DOUBLE), '0') END AS shown FROM orders WHERE o_orderkey < 8000")
+@register("display_format", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'N/A' WHEN o_orderkey % 8 = 0 THEN (o_orderkey // 8)::VARCHAR || '.0' ELSE rtrim(format('{:.4f}', o_orderkey / 8.0::DOUBLE), '0') END AS shown FROM orders")
 def display_format(spark, sf_dir):
     value = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") / F.lit(8.0))
-    return A.table(spark, sf_dir, "orders").filter("o_orderkey < 8000").select("o_orderkey", V.display(value).alias("shown"))
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", V.display(value).alias("shown"))

@@ -33,7 +33,8 @@ def _foreign_data(spark, sf_dir, poison):
     """Foreign readers of each package's data; undefined when another package has an unresolved access."""
     edges = A.package_edges(spark, sf_dir)
     readers = edges.filter("src != dst").groupBy(F.col("dst").alias("package")).agg(F.count_distinct("src").alias("fdp"))
-    unresolved = edges.filter(poison).agg(F.count_distinct("src").alias("bad"), F.min("src").alias("only"))  # one row
+    largest = edges.agg(F.max("src").alias("largest"))  # one row
+    unresolved = edges.crossJoin(F.broadcast(largest)).filter(poison).agg(F.count_distinct("src").alias("bad"), F.min("src").alias("only"))  # one row
     packages = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("package"))
     joined = packages.join(readers, "package", "left").crossJoin(F.broadcast(unresolved))
     other = (F.col("bad") > 1) | ((F.col("bad") == 1) & (F.col("only") != F.col("package")))
@@ -45,15 +46,14 @@ q AS (SELECT n_nationkey AS package, (SELECT count(DISTINCT src) FROM pe WHERE d
 SELECT package, CASE WHEN NOT coalesce(other, false) THEN fdp END AS fdp, CASE WHEN coalesce(other, false) THEN 'UNDEFINED' ELSE 'DEFINED' END AS state FROM q"""
 
 
-@register("fdp_clean", _FDP_SQL.replace("@", "src = dst AND src < 0"))
+@register("fdp_clean", _FDP_SQL.replace("@", "src IS NULL"))
 def fdp_clean(spark, sf_dir):
-    return _foreign_data(spark, sf_dir, "src = dst and src < 0")
+    return _foreign_data(spark, sf_dir, "src is null")
 
 
 @register("fdp_poisoned", _FDP_SQL.replace("@", "src = (SELECT max(src) FROM pe)"))
 def fdp_poisoned(spark, sf_dir):
-    largest = A.package_edges(spark, sf_dir).agg(F.max("src")).first()[0]
-    return _foreign_data(spark, sf_dir, F.col("src") == F.lit(largest))
+    return _foreign_data(spark, sf_dir, "src = largest")
 
 
 @register("descendants_closure", f"{CLOSURE_SQL} SELECT src, count(*) AS descendants, max(dst) AS last FROM t GROUP BY 1")
@@ -102,12 +102,7 @@ def lcom_components(spark, sf_dir):
 @register("tcc_ratio", f"""WITH {FIELDS_SQL}, n AS (SELECT class, count(DISTINCT method) AS n FROM f GROUP BY 1), p AS (SELECT class, count(*) AS p FROM g GROUP BY 1)
 SELECT n.class, coalesce(p, 0) AS connected, CASE WHEN n < 2 THEN 0 ELSE coalesce(p, 0)::DOUBLE / (n * (n - 1) / 2) END AS tcc FROM n LEFT JOIN p ON p.class = n.class""")
 def tcc_ratio(spark, sf_dir):
-    used = _field_use(spark, sf_dir)
-    a, b = (used.select("class", "field", F.col("method").alias(s)) for s in "ab")
-    pairs = a.join(b, ["class", "field"]).filter("a < b").select("class", "a", "b").distinct().groupBy("class").agg(F.count("*").alias("connected"))
-    n = used.groupBy("class").agg(F.count_distinct("method").alias("n"))
-    ratio = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("connected", F.lit(0)).cast("double") / (F.col("n") * (F.col("n") - 1) / 2))
-    return n.join(pairs, "class", "left").select("class", F.coalesce("connected", F.lit(0)).alias("connected"), ratio.alias("tcc"))
+    return rollup.tight_cohesion(_field_use(spark, sf_dir)).select("class", "connected", "tcc")
 
 
 MEMBERS_SQL = """

@@ -16,7 +16,7 @@ h AS (SELECT * FROM n WHERE n1 > 0 AND n2 > 0 AND big_n1 > 0 AND big_n2 > 0)"""
 
 
 def _counts(spark, sf_dir):
-    return T.halstead_counts(T.tokens(A.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return T.text_counts(A.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @register("halstead_tokens", f"{_COUNTS} SELECT * FROM h")
