@@ -32,6 +32,14 @@ def satisfied(metrics: DataFrame, conditions: DataFrame) -> DataFrame:
     return counted.join(needed, "rule").filter("held = needed").select("rule", "entity_id", "excess")
 
 
+def satisfied_conditions(metrics: DataFrame, conditions: DataFrame) -> DataFrame:
+    """``satisfied`` with violations: an array of (metric, value, min, max) of the conditions that hold."""
+    value = F.coalesce("value", F.lit(0.0))
+    held = metrics.join(conditions, "code").filter(V.contains(value, F.col("min"), F.col("max")))
+    told = F.array_sort(F.collect_list(F.struct(F.col("code").alias("metric"), value.alias("value"), "min", "max")))
+    return satisfied(metrics, conditions).join(held.groupBy("rule", "entity_id").agg(told.alias("violations")), ["rule", "entity_id"])
+
+
 def evaluate(metrics: DataFrame, entities: DataFrame, conditions: DataFrame) -> DataFrame:
     """(rule, entity_id, status): MATCH, NONMATCH, or UNAVAILABLE where a needed metric is absent, undefined or no finite number.
 

@@ -35,6 +35,17 @@ class Analysis:
     def level(self, name: str) -> DataFrame:
         return self.metrics.filter(F.col("level") == name)
 
+    def entities(self) -> DataFrame:
+        """(level, entity_id, path, name, signature, line, end_line, params) of classes and methods; a class has no signature."""
+        none = F.lit(None).cast("string")
+        classes_ = self.tables["classes"].select(F.lit("class").alias("level"), F.col("class").alias("entity_id"), "path", F.col("class").alias("name"), none.alias("signature"), "line", "end_line", F.lit(None).cast("long").alias("params"))
+        found = self.tables["members"].filter("member_kind != 'field'")
+        return classes_.unionByName(found.select(F.lit("method").alias("level"), F.concat_ws("#", "class", "member").alias("entity_id"), "path", F.col("class").alias("name"), F.col("member").alias("signature"), "line", "end_line", "params"))
+
+    def measures(self) -> DataFrame:
+        """(path, name, signature, code, value) of classes and methods."""
+        return self.metrics.join(self.entities().select("level", "entity_id", "path", "name", "signature"), ["level", "entity_id"]).select("path", "name", "signature", "code", "value")
+
 
 def _has(column: str, word: str) -> Column:
     return F.array_contains(column, word)

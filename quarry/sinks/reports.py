@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.value import display, severity_rank
+from quarry.functions.value import severity_rank
+from quarry.operators.findings import baseline_of
+from quarry.sinks import documents
 
+BASELINE_SCHEMA = 1
 LEVELS = {"high": "error", "medium": "warning", "low": "note"}
 
 
 def metric_tree(metrics: DataFrame) -> DataFrame:
     """One row a package: classes nested with their methods, values as formatted strings, everything sorted by name."""
-    shown = F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", display(F.col("value"))))))
+    integral = F.col("is_integral") if "is_integral" in metrics.columns else F.lit(False)
+    shown = F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", documents.shown(F.col("value"), integral)))))
     entities = metrics.groupBy("level", "entity_id", "parent_id").agg(shown.alias("metrics"))
     at = lambda level: entities.filter(F.col("level") == level).drop("level")
     methods = at("method").groupBy("parent_id").agg(_sorted("entity_id", "metrics").alias("methods")).withColumnRenamed("parent_id", "entity_id")
@@ -27,6 +31,24 @@ def _sorted(*columns: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*columns)), by_name)
 
 
+def write_accepted(findings: DataFrame, path: str, policy_digest: str, required_gaps: int = 0) -> None:
+    """The findings to accept, as a baseline of schema 1; refused over an existing one or while required measurements are missing."""
+    if required_gaps:
+        raise ValueError(f"{required_gaps} required measurements are missing; no baseline is written")
+    rows = baseline_of(findings).withColumn("schema", F.lit(BASELINE_SCHEMA)).withColumn("policy", F.lit(policy_digest))
+    rows.write.mode("errorifexists").json(path)
+
+
+def read_accepted(spark, path: str, policy_digest: str) -> DataFrame:
+    """A baseline that ``write_accepted`` wrote with the same policy; others are refused."""
+    found = spark.read.schema("fingerprint string, rule string, path string, name string, signature string, accepted map<string, double>, schema int, policy string").json(path)
+    if not found.filter(~F.col("schema").eqNullSafe(F.lit(BASELINE_SCHEMA))).isEmpty():
+        raise ValueError(f"the baseline isn't of schema {BASELINE_SCHEMA}")
+    if not found.filter(~F.col("policy").eqNullSafe(F.lit(policy_digest))).isEmpty():
+        raise ValueError("the baseline was written with another policy")
+    return found.drop("schema", "policy")
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 

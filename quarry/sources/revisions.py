@@ -5,11 +5,16 @@ from __future__ import annotations
 import hashlib
 import subprocess
 import zipfile
+from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import graph, scope
+
 CHANGE_SCHEMA = "status string, score int, old_path string, new_path string, seq int"
 
 
@@ -73,15 +78,87 @@ def index(spark: SparkSession, repo: str, suffix: str = ".java") -> DataFrame:
     return spark.createDataFrame(rows, "path string, blob string")
 
 
+def listed_files(repo: str, suffix: str = ".java") -> list[str]:
+    """Tracked and untracked paths of the working tree that aren't ignored; the listing is metadata of one repository."""
+    found = set(git(repo, "ls-files", "-z").split("\0")) | set(git(repo, "ls-files", "-o", "--exclude-standard", "-z").split("\0"))
+    return sorted(p for p in found if p.endswith(suffix))
+
+
 def working_tree(spark: SparkSession, repo: str, suffix: str = ".java") -> DataFrame:
-    """(path, sha256) of tracked and untracked files that aren't ignored, without links and files that are gone."""
-    listed = set(git(repo, "ls-files", "-z").split("\0")) | set(git(repo, "ls-files", "-o", "--exclude-standard", "-z").split("\0"))
-    rows = []
-    for path in sorted(p for p in listed if p.endswith(suffix)):
-        file = Path(repo, path)
-        if file.is_file() and not file.is_symlink():
-            rows.append((path, hashlib.sha256(file.read_bytes()).hexdigest()))
-    return spark.createDataFrame(rows, "path string, sha256 string")
+    """(path, sha256, blob, stable) of the working tree, without links and files that are gone; ``blob`` is git's id of the content.
+
+    Executors read every file twice; ``stable`` is false where the two differ, as the file is being written.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                file = Path(repo, path)
+                if file.is_file() and not file.is_symlink():
+                    first, second = file.read_bytes(), file.read_bytes()
+                    rows.append((path, hashlib.sha256(first).hexdigest(), hashlib.sha1(b"blob %d\0" % len(first) + first).hexdigest(), first == second))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], names=["path", "sha256", "blob", "stable"])
+
+    paths = spark.createDataFrame([(p,) for p in listed_files(repo, suffix)], "path string")
+    return paths.mapInArrow(read, "path string, sha256 string, blob string, stable boolean")
+
+
+def contents(repo: str, manifest: DataFrame, stored: bool = True) -> DataFrame:
+    """(path, content) of a manifest (path, blob), read by the executors: blobs of the repository, or files of the working tree if not ``stored``.
+
+    A working file that no longer has the manifest's blob is an error, since what is analysed must be what was compared.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, blob in zip(batch.column("path").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if stored:
+                    raw = subprocess.run(["git", "-C", repo, "cat-file", "blob", blob], check=True, capture_output=True, timeout=60).stdout
+                else:
+                    raw = Path(repo, path).read_bytes()
+                    if hashlib.sha1(b"blob %d\0" % len(raw) + raw).hexdigest() != blob:
+                        raise ValueError(f"{path} changed while it was compared")
+                out.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return manifest.select("path", "blob").mapInArrow(read, "path string, content binary")
+
+
+@dataclass
+class Plan:
+    """Two revisions to compare: what they hold, and how they differ."""
+
+    mode: str
+    requested: str
+    base: str
+    head: str
+    merge_base: str
+    before: DataFrame  # path, blob
+    after: DataFrame  # path, blob
+    changes: DataFrame  # status, old_path, new_path
+
+    @property
+    def from_git(self) -> bool:
+        return self.mode != "worktree"
+
+
+def plan(spark: SparkSession, repo: str, base: str, mode: str = "worktree", suffix: str = ".java") -> Plan:
+    """The merge base of ``base`` and HEAD against the working tree, the staged state or HEAD itself (committed)."""
+    if mode not in ("worktree", "staged", "committed"):
+        raise ValueError(f"unknown mode {mode}")
+    head, base_sha = git(repo, "rev-parse", "HEAD^{commit}").strip(), git(repo, "rev-parse", f"{base}^{{commit}}").strip()
+    start = merge_base(repo, base_sha, head)
+    before, at_head = tree(spark, repo, start, suffix), tree(spark, repo, head, suffix)
+    staged = index(spark, repo, suffix) if mode != "committed" else None  # an unmerged index is an error in both modes
+    after = at_head if mode == "committed" else staged if mode == "staged" else working_tree(spark, repo, suffix).select("path", "blob")
+    after = graph.kept(after)
+    made = changes(spark, repo, start, head).filter(F.coalesce("new_path", "old_path").endswith(suffix))
+    bare = lambda df: df.select("path", F.col("blob").alias("sha256"))
+    local = scope.local_changes(made, bare(at_head), bare(after)) if mode != "committed" else made.select("status", "old_path", "new_path")
+    return Plan(mode, base, base_sha, head, start, before, after, graph.kept(local))
 
 
 def classpath(spark: SparkSession, entries: list[str]) -> DataFrame:
