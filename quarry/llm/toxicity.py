@@ -10,8 +10,8 @@ whose runs of five words have the same least hash one counts.
 
 The examples are a bounded sample of those documents (``per_class`` of each label, those with the smallest hash
 of doc_id, texts of more than ``most`` bytes by windows spread evenly over the whole). The index keeps postings
-by block of 64 examples and each term's largest weight in a block. A query sums those into an upper bound for
-every block, visits the FIRST blocks by it, and then those alone whose bound the k-th best cosine found doesn't beat:
+by block of 64 examples and the largest weight of each common term in a block. A query adds those up, and the postings
+of its rare terms themselves, into an upper bound for every block, visits the FIRST blocks by it, and then those alone whose bound the k-th best cosine found doesn't beat:
 the k nearest are exact. Votes weigh by closeness; leave-one-out votes of the sample, weighted to the labels' true
 shares, calibrate the score by isotonic regression.
 
@@ -41,6 +41,8 @@ from quarry.llm.language_id import excerpt, held_out
 
 TOKEN = re.compile(r"\w+")
 BLOCK, NEIGHBOURS = 64, 15
+#: Odd multipliers of the hash of a run of five words.
+RUN = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(6)]
 #: Blocks that a query visits before it leaves others out, and examples that hold a common word at least.
 FIRST, COMMON = 4, 32
 #: Bytes of a broadcast label.
@@ -68,38 +70,19 @@ class BlockMaxIndex:
 
     @cached_property
     def layout(self) -> tuple[np.ndarray, ...]:
-        """Largest weights (term, block); a row number of each common term (-1 for others) and their weights (row, block, place);
-        for the others where the postings of each term and block begin, with their places and weights."""
-        most = np.zeros((self.size, self.blocks))
-        np.maximum.at(most, (self.terms, self.places // BLOCK), self.weights)
-        rows = np.full(self.size, -1)
+        """A row number of each common term (-1 for others), their weights (row, block, place) and largest ones (row, block);
+        for the others where the postings of each term begin, with their places and weights."""
+        rows = np.full(self.size, -1, np.int32)
         common = np.flatnonzero(np.bincount(self.terms, minlength=self.size) >= COMMON)
         rows[common] = np.arange(len(common))
         table = np.zeros((len(common), self.blocks * BLOCK))
         held = rows[self.terms] >= 0
         table[rows[self.terms[held]], self.places[held]] = self.weights[held]
+        table = table.reshape(len(common), self.blocks, BLOCK)
         terms, places, weights = (x[~held] for x in (self.terms, self.places, self.weights))
-        cells = terms * self.blocks + places // BLOCK
-        order = np.argsort(cells, kind="stable")
-        starts = np.searchsorted(cells[order], np.arange(self.size * self.blocks + 1)).astype(np.int32)
-        return most, rows, table.reshape(len(common), self.blocks, BLOCK), starts, places[order], weights[order]
-
-    def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """The cosine of every example in ``blocks``, by place; 0 for the others."""
-        _, rows, table, starts, places, held = self.layout
-        row = rows[terms]
-        common = row >= 0
-        rare = terms[~common]
-        cells = (rare[:, None] * self.blocks + blocks).ravel()
-        begin = starts[cells]
-        sizes = starts[cells + 1] - begin
-        full = np.flatnonzero(sizes)
-        begin, sizes = begin[full], sizes[full]
-        at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        out = np.bincount(places[at], np.repeat(weights[~common][full // len(blocks)], sizes) * held[at], minlength=self.blocks * BLOCK).astype(np.float64, copy=False)
-        if common.any():
-            out.reshape(self.blocks, BLOCK)[blocks] += np.tensordot(weights[common], table[row[common][:, None], blocks], 1)
-        return out[: len(self.ids)]
+        order = np.argsort(terms, kind="stable")
+        starts = np.searchsorted(terms[order], np.arange(self.size + 1)).astype(np.int32)
+        return rows, table, table.max(axis=2), starts, places[order].astype(np.int32), weights[order]
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The k best (cosine, doc_id) above 0, best first, smaller doc_id first among equals; ``without``: an id left out."""
@@ -109,7 +92,15 @@ class BlockMaxIndex:
         """``nearest`` for a query in two arrays."""
         known = terms < self.size
         terms, weights = terms[known], weights[known]
-        bound = weights @ self.layout[0][terms]
+        rows, table, most, starts, places, held = self.layout
+        row = rows[terms]
+        rare, common = terms[row < 0], row >= 0
+        begin = starts[rare]
+        sizes = starts[rare + 1] - begin
+        at = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        sums = np.bincount(places[at], np.repeat(weights[row < 0], sizes) * held[at], minlength=self.blocks * BLOCK).astype(np.float64, copy=False).reshape(self.blocks, BLOCK)
+        row, weights = row[common], weights[common]
+        bound = sums.max(axis=1, initial=0.0) + weights @ most[row]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
@@ -117,8 +108,9 @@ class BlockMaxIndex:
             floor = best[-1][0] - 1e-9 if len(best) == k else 0.0
             part = part[bound[part] >= floor]
             if len(part):
-                score = self.scores(terms, weights, part)
-                found = [(round(float(score[p]), 12), self.ids[p]) for p in np.flatnonzero(score > max(floor, kth_largest(score, k + 1) - 1e-9)).tolist()]
+                score = (sums[part] + np.tensordot(weights, table[row[:, None], part], 1)).ravel()
+                floor = max(floor, kth_largest(score, k + 1) - 1e-9)
+                found = [(round(float(score[p]), 12), self.ids[part[p // BLOCK] * BLOCK + p % BLOCK]) for p in np.flatnonzero(score > floor).tolist()]
                 best = sorted([*best, *(r for r in found if r[1] != without)], key=lambda r: (-r[0], r[1]))[:k]
         return best
 
@@ -213,16 +205,20 @@ class Counted:
         return math.log((1 + self.toxic + self.clean) / (1 + sum(self.words.get(word, (0, 0))))) + 1
 
 
-def likeness(text: str) -> int:
+def likeness(words: list[str]) -> int:
     """The least hash of a text's runs of five words, most often equal in near copies."""
-    words = TOKEN.findall(text.lower())
-    runs = map(" ".join, zip(*(words[i:] for i in range(5)), strict=False)) if len(words) > 5 else [" ".join(words)]
-    return min(zlib.crc32(r.encode()) * 0x9E3779B1 & 0xFFFFFFFF for r in runs)
+    hashes = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint64, len(words))
+    n = max(1, len(words) - 4)
+    runs = np.zeros(n, np.uint64)
+    for i in range(min(5, len(words))):
+        runs += hashes[i : i + n] * np.uint64(RUN[i])
+    runs ^= runs >> np.uint64(29)
+    return int((runs * np.uint64(RUN[5])).min() >> np.uint64(1))
 
 
 def counted_words(samples: list[tuple[int, str, int]]) -> Counted:
     """Counts over (doc_id, text, label) samples."""
-    kept = {(likeness(text), y): text for _, text, y in sorted(samples, reverse=True)}
+    kept = {(likeness(TOKEN.findall(text.lower())), y): text for _, text, y in sorted(samples, reverse=True)}
     n = Counter(y for _, y in kept)
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for (_, y), text in kept.items():
@@ -275,8 +271,9 @@ def vocabulary(docs: DataFrame, labels: DataFrame, words: list[str]) -> Counted:
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         alike, terms, known = [], [], number.value.get
         for text in batch.column("text").to_pylist():
-            alike.append(likeness(text or ""))
-            found = {known(w, -1) for w in TOKEN.findall((text or "").lower())} | {-1}  # -1 counts the document
+            told = TOKEN.findall((text or "").lower())
+            alike.append(likeness(told))
+            found = {known(w, -1) for w in set(told)} | {-1}  # -1 counts the document
             terms.append(sorted(found))
         out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(alike, pa.int64()), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "alike", "terms"])
         return out.append_column("toxic", batch.column("toxic")) if "toxic" in batch.schema.names else out
