@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import formulas
@@ -14,12 +16,16 @@ TOKEN = r"[^ \n.,]+"
 
 def text_counts(docs: DataFrame) -> DataFrame:
     """n1, n2, N1, N2 as ``halstead_counts`` has them, of the words of each text: from arrays of the row itself, without a shuffle."""
-    split = docs.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("words"))
-    split = split.select("doc_id", "words", F.filter("words", lambda w: w.isin(*OPERATORS)).alias("ops"))
-    counts = split.select(
-        "doc_id", F.size(F.array_distinct("ops")).cast("long").alias("n1"), (F.size(F.array_distinct("words")) - F.size(F.array_distinct("ops"))).cast("long").alias("n2"),
-        F.size("ops").cast("long").alias("big_n1"), (F.size("words") - F.size("ops")).cast("long").alias("big_n2"),
-    )
+    def counted(words: Column, ops: Column) -> Column:
+        n1, big_n1 = F.size(F.array_distinct(ops)), F.size(ops)
+        return F.struct(*(c.cast("long").alias(n) for n, c in (("n1", n1), ("n2", F.size(F.array_distinct(words)) - n1), ("big_n1", big_n1), ("big_n2", F.size(words) - big_n1))))
+
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of a value that is computed once: columns that are used twice are otherwise inlined and computed anew."""
+        return F.transform(F.array(value), then)[0]
+
+    found = bound(F.regexp_extract_all("text", F.lit(TOKEN), 0), lambda words: bound(F.filter(words, lambda w: w.isin(*OPERATORS)), lambda ops: counted(words, ops)))
+    counts = docs.select("doc_id", found.alias("c")).select("doc_id", "c.*")
     return counts.filter("n1 > 0 and n2 > 0")
 
 

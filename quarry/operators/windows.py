@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import kept
+
 
 def _first(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__rn") <= n).drop("__rn")
@@ -36,6 +38,18 @@ def first_match(value: Column, rules: list[tuple[str, str]], otherwise: str) ->
     return F.coalesce(found, F.lit(otherwise))
 
 
+def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with the place, from 1, of each row in a total order, without putting all rows into one task.
+
+    Rows are dealt by ranges of the order and stored; the sizes of the ranges, a few rows, say where each begins.
+    """
+    dealt = kept(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__size"))
+    begins = sizes.select("__range", (F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).alias("__begin"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__nth", within).join(F.broadcast(begins), "__range").select(*df.columns, (F.col("__begin") + F.col("__nth")).alias(name))
+
+
 def rule_match(rows: DataFrame, rules: DataFrame, on: list[str], extra: Column, order: str) -> DataFrame:
     """The first rule (by ``order``) with equal keys and ``extra`` true for each row; rules are few and broadcast-sized by AQE."""
     rows = rows.withColumn("__row", F.monotonically_increasing_id())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import rollup
+from quarry.session import literal_rows
 
 METHODS_SQL = """
 m AS (
@@ -106,8 +107,8 @@ def package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("long").alias("quantity"))
     orders, customers = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    sold = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "s_nationkey").agg(F.sum("quantity").alias("quantity"))
-    joined = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    buyers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    joined = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
     traded = joined.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("quantity").alias("volume"))
     total = traded.agg(F.sum("volume").alias("total"), F.count("*").alias("pairs"))  # one row
     return traded.crossJoin(F.broadcast(total)).filter(F.col("volume") * F.col("pairs") > F.col("total")).select("src", "dst")
@@ -115,4 +116,4 @@ def package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of literals."""
-    return spark.createDataFrame(rows, schema)
+    return literal_rows(spark, rows, schema)

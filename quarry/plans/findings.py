@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import findings as FN
@@ -57,8 +56,8 @@ def finding_counters(spark, sf_dir):
 @register("finding_order", f"{_WIDE} SELECT path, name, row_number() OVER (ORDER BY blocking DESC, path, name, fingerprint) AS place FROM fd")
 def finding_order(spark, sf_dir):
     """Every finding with its place in the report's total order."""
-    ordered = Window.orderBy(F.col("blocking").desc(), "path", "name", "fingerprint")
-    return _findings(spark, sf_dir).select("path", "name", "blocking", "fingerprint").withColumn("place", F.row_number().over(ordered)).select("path", "name", "place")
+    rows = _findings(spark, sf_dir).select("path", "name", "blocking", "fingerprint")
+    return windows.places(rows, [F.col("blocking").desc(), F.col("path"), F.col("name"), F.col("fingerprint")]).select("path", "name", "place")
 
 
 @register("finding_compact", f"{_WIDE}, q AS (SELECT *, lifecycle = 'EXISTING' AS debt FROM fd) SELECT path, name, lifecycle, (SELECT count(*) FROM q WHERE NOT debt) AS shown_of, (SELECT count(*) FROM q WHERE debt) AS dropped FROM q WHERE NOT debt ORDER BY blocking DESC, path, name LIMIT 20")
@@ -99,7 +98,7 @@ def diagnostics_order(spark, sf_dir):
     kind = F.col("event_type")
     rows = A.table(spark, sf_dir, "events").select("event_id", F.when(kind == "error", "ERROR").when(kind == "signup", "WARNING").otherwise("INFO").alias("severity"), kind.alias("code"), F.col("props").alias("message"), F.col("user_id").cast("string").alias("path"), (F.col("event_id") % 100).alias("line"))
     rank = F.when(F.col("severity") == "ERROR", 0).when(F.col("severity") == "WARNING", 1).otherwise(2)
-    return rows.select("event_id", F.row_number().over(Window.orderBy(rank, "code", "message", "path", "line", "event_id")).alias("place"))
+    return windows.places(rows, [rank, *map(F.col, ("code", "message", "path", "line", "event_id"))]).select("event_id", "place")
 
 
 @register("diagnostic_flags", f"SELECT count(*) > 0 AS any, count(*) FILTER (severity = 'WARNING') > 0 AS warnings, count(*) FILTER (severity = 'ERROR') > 0 AS errors FROM ({_ORDERS})")
@@ -143,7 +142,7 @@ def detection_by_method(spark, sf_dir):
     """Matches by method, the least severe first, as that view is defined."""
     rows = documents.by_entity(_method_matches(spark, sf_dir), "method")
     rank = F.when(F.col("worst") == "high", 3).when(F.col("worst") == "medium", 2).otherwise(1)
-    return rows.select("entity_id", "worst", F.array_join("rules", ",").alias("rules"), F.row_number().over(Window.orderBy(rank, "entity_id")).alias("place"))
+    return windows.places(rows.select("entity_id", "worst", F.array_join("rules", ",").alias("rules")), [rank, F.col("entity_id")])
 
 
 @register("rules_summary", f"{_LEVELS} SELECT 3::BIGINT AS total, count(DISTINCT rule) AS matched, count(*) AS findings, count(DISTINCT entity_id) AS affected FROM mt")

@@ -193,7 +193,7 @@ def measure(spark: SparkSession, sources: DataFrame, problems: list[tuple[str, s
     method_rows = methods(t).join(symbols.variables_and_callees(), METHOD, "left").join(symbols.method_metrics(), METHOD, "left").withColumn("CDISP", F.when(F.col("member_kind") == "method", F.coalesce("CDISP", F.lit(0))))
     method_rows = graph.kept(method_rows.withColumn("entity", F.concat_ws("#", "class", "member")))
     class_rows = classes(t, method_rows)
-    class_rows = class_rows.join(symbols.inheritance(), "class", "left").join(java_names.class_metrics(t), ["path", "package", "class"], "left").join(symbols.class_metrics(), "class", "left").join(symbols.coupling_metrics(), "class", "left")
+    class_rows = class_rows.join(symbols.inheritance(), "class", "left").join(java_names.class_metrics(t, symbols.superclasses()), ["path", "package", "class"], "left").join(symbols.class_metrics(), "class", "left").join(symbols.coupling_metrics(), "class", "left")
     class_rows = graph.kept(class_rows)
     package_rows = graph.kept(packages(class_rows, symbols.package_edges()).select("*", *zeros))
     project = package_rows.agg(*(F.sum(c).alias(c) for c in ("PNOCC", "PNOAC", "PNOI", "PNOSC", "PNCSS", "PLOC")), F.sum("cc").alias("cc"), *(F.coalesce(F.sum(p), F.lit(0.0)).alias(f"PR{p[2:]}") for p in SUMMED.values()))

@@ -6,6 +6,7 @@ guessed; ``coverage`` says which share of names was resolved.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +22,9 @@ def own_fields(t: dict[str, DataFrame]) -> DataFrame:
     return variables.join(fields, METHOD).drop("member").distinct()
 
 
-def ancestors(t: dict[str, DataFrame]) -> DataFrame:
-    """(class, ancestor) along superclasses inside the project."""
-    clauses = java_symbols.supertypes(t, java_symbols.project_types(t)).filter("kind = 'extends' and inside and class_kind = 'class'")
-    edges = clauses.select(F.col("class").alias("src"), F.col("target").alias("dst")).filter("src != dst")
-    return graph.closure(edges).select(F.col("src").alias("class"), F.col("dst").alias("ancestor"))
-
-
-def class_metrics(t: dict[str, DataFrame]) -> DataFrame:
-    """Per class: NOA (own and inherited fields within the project) and LCOM."""
-    fields, lines = graph.kept(own_fields(t)), graph.kept(ancestors(t))
+def class_metrics(t: dict[str, DataFrame], lines: DataFrame) -> DataFrame:
+    """Per class: NOA (own and inherited fields within the project) and LCOM; ``lines`` (class, ancestor) along superclasses."""
+    fields = graph.kept(own_fields(t))
     methods = t["members"].filter("member_kind = 'method'")
     nodes = t["nodes"].filter("kind != 'statement'")
     inherited = lines.join(fields.select(F.col("class").alias("ancestor"), "name"), "ancestor").groupBy("class").agg(F.count("*").alias("more_fields"))
@@ -43,16 +37,31 @@ def _cohesion(t, fields, methods, nodes) -> DataFrame:
     """LCOM: components of the instance methods that use a field of the class; edges are fields and calls in common."""
     usable = methods.filter(~F.array_contains("modifiers", "static") & ~F.col("name").isin(*java_symbols.BOILERPLATE)).select(*METHOD, "name", "params")
     touched = nodes.filter("kind in ('name', 'own-field-access')").select(*METHOD, "name").distinct().join(fields.filter("not is_static").select(*CLASS, "name"), [*CLASS, "name"])
-    touched = graph.kept(touched.join(usable.select(*METHOD), METHOD, "left_semi").distinct())
+    touched = touched.join(usable.select(*METHOD), METHOD, "left_semi").distinct()
     users = touched.select(*METHOD).distinct()
     stars = touched.join(touched.groupBy(*CLASS, "name").agg(F.min("member").alias("b")), [*CLASS, "name"]).filter("member != b").select(*CLASS, F.col("member").alias("a"), "b")
     arity = F.when(F.col("op") == ".", F.col("params") - 1).otherwise(F.col("params"))
     calls = nodes.filter("kind = 'call'").select(*CLASS, F.col("member").alias("a"), "name", arity.alias("params"))
     callees = usable.join(users, METHOD, "left_semi").select(*CLASS, "name", "params", F.col("member").alias("b"))
     called = calls.join(callees, [*CLASS, "name", "params"]).filter("a != b").select(*CLASS, "a", "b").join(users.withColumnRenamed("member", "a"), [*CLASS, "a"], "left_semi")
-    group = F.struct(*CLASS).alias("grp")
-    labels = graph.grouped_components(stars.unionByName(called).select(group, "a", "b"), users.select(group, F.col("member").alias("node")))
-    return labels.groupBy("grp").agg(F.count_distinct("component").alias("LCOM")).select("grp.*", "LCOM")
+    edges = stars.unionByName(called).select(*CLASS, "a", "b").unionByName(users.select(*CLASS, F.col("member").alias("a"), F.col("member").alias("b")))
+    return edges.groupBy(*CLASS).applyInArrow(_components, "path string, package string, class string, LCOM long")
+
+
+def _components(edges: pa.Table) -> pa.Table:
+    """One row: how many components the edges (a, b) of one class have; a node without others is an edge to itself."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
+        root[find(a)] = find(b)
+    one = edges.slice(0, 1)
+    return pa.Table.from_arrays([*(one.column(c) for c in CLASS), pa.array([sum(find(x) == x for x in list(root))], pa.int64())], names=[*CLASS, "LCOM"])
 
 
 def coverage(t: dict[str, DataFrame]) -> DataFrame:

@@ -146,8 +146,11 @@ def resolved_chains(t: dict[str, DataFrame], types: DataFrame, lines: DataFrame,
     state = graph.kept(first.unionByName(begun))
     done = [state.filter(F.size("steps") == F.col("k"))]
     most = state.agg(F.max(F.size("steps"))).first()[0] or 0
-    for _ in range(most):  # as many joins as the longest chain has steps
-        state = state.filter(F.size("steps") > F.col("k")).withColumn("k", F.col("k") + 1)
+    nowhere = [F.lit(None).cast(c).alias(n) for n, c in empty.items()]
+    for _ in range(most):  # at most as many joins as the longest chain has steps; what isn't known ends there
+        rest = state.filter(F.size("steps") > F.col("k"))
+        done.append(rest.filter("at is null").select(*CHAIN, *nowhere, "at", "dims", F.lit(True).alias("value"), "k"))
+        state = rest.filter("at is not null").withColumn("k", F.col("k") + 1)
         if state.isEmpty():
             break
         on = [F.col("at") == F.col("owner"), F.col("skind") == F.col("mkind"), F.col("sname") == F.col("mname"), F.col("sarity") == F.col("marity"), F.col("dims") == 0]
@@ -192,14 +195,21 @@ class Symbols:
         counted = self.accesses.filter("value and kind in ('name', 'field', 'call')").agg(F.count("*").alias("a"), F.count("declaring").alias("r")).crossJoin(F.broadcast(self.clauses.agg(F.count("*").alias("c"), F.count("target").alias("s"))))
         return counted.select((F.col("a") + F.col("c")).alias("attempts"), (F.col("r") + F.col("s")).alias("resolved"), F.try_divide((F.col("r") + F.col("s")).cast("double"), F.col("a") + F.col("c")).alias("coverage"))
 
+    def superclasses(self) -> DataFrame:
+        """(class, ancestor) along superclasses inside the project: only a class can extend a class."""
+        kinds = self.types.filter("kind = 'class'").select(F.col("type").alias("ancestor"))
+        return self.lines.select(F.col("src").alias("class"), F.col("dst").alias("ancestor")).join(kinds, "ancestor", "left_semi").select("class", "ancestor")
+
     def inheritance(self) -> DataFrame:
         """(class, DIT, NOC): depth along superclasses, an external one counting one level and an unknown one none; direct extensions."""
-        classes = self.t["classes"].select("class", "class_kind").dropDuplicates(["class"])
-        extends = self.clauses.filter("kind = 'extends' and target is not null").select("class", "target")
-        parents = extends.join(classes.filter("class_kind = 'class'"), "class").groupBy(F.col("class").alias("node")).agg(F.min("target").alias("parent")).filter("node != parent")
-        depth = graph.depth(graph.kept(classes.select(F.col("class").alias("node"))), graph.kept(parents))
-        children = extends.distinct().groupBy(F.col("target").alias("class")).agg(F.count("*").alias("NOC"))
-        return depth.select(F.col("node").alias("class"), F.col("depth").alias("DIT")).join(children, "class", "left").na.fill(0, ["NOC"])
+        classes = self.t["classes"].select("class").dropDuplicates(["class"])
+        extends = self.clauses.filter("kind = 'extends' and target is not null").select("class", "target", "class_kind", "inside").distinct()
+        abroad = extends.filter("class_kind = 'class' and not inside").select("class").distinct()
+        above = self.superclasses()
+        ends = above.join(abroad.withColumnRenamed("class", "ancestor"), "ancestor", "left_semi").select("class").unionByName(abroad).distinct().withColumn("abroad", F.lit(1))
+        children = extends.groupBy(F.col("target").alias("class")).agg(F.count("*").alias("NOC"))
+        out = classes.join(above.groupBy("class").agg(F.count("*").alias("above")), "class", "left").join(ends, "class", "left").join(children, "class", "left").na.fill(0, ["above", "abroad", "NOC"])
+        return out.select("class", (1 + F.col("above") + F.col("abroad")).alias("DIT"), "NOC")
 
     def _with_outer(self, rows: DataFrame) -> DataFrame:
         """Rows of a class under the classes around it too, as those hold its text."""

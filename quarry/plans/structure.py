@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, rollup
+from quarry.operators import graph, mood, rollup
 from quarry.plans import adapters as A
 from quarry.plans.catalogue import register
 
@@ -127,38 +127,23 @@ v AS (SELECT CASE visibility WHEN 'public' THEN n - 1 WHEN 'package' THEN size -
 SELECT count(*) AS members, sum(seen)::BIGINT AS visible, CASE WHEN (SELECT n FROM n) <= 1 OR count(*) = 0 THEN 0 ELSE 1 - sum(seen)::DOUBLE / (count(*) * ((SELECT n FROM n) - 1)) END AS mhf FROM v""")
 def mood_hiding(spark, sf_dir):
     classes, members = _members(spark, sf_dir)
-    sizes = classes.groupBy("package").agg(F.count("*").alias("size"))
-    total = classes.agg(F.count("*").alias("n"))  # one row
-    a, b = (classes.select(F.col("class").alias(s), F.col("package").alias(f"p{s}")) for s in ("src", "dst"))
-    outside = graph.closure(A.tree(spark, sf_dir)).join(a, "src").join(b, "dst").filter("psrc != pdst").groupBy(F.col("src").alias("class")).agg(F.count("*").alias("outside"))
-    joined = members.join(classes, "class").join(sizes, "package").join(outside, "class", "left").crossJoin(F.broadcast(total))
-    near, far = F.col("size") - 1, F.coalesce("outside", F.lit(0))
-    seen = F.when(F.col("visibility") == "public", F.col("n") - 1).when(F.col("visibility") == "package", near).when(F.col("visibility") == "protected", near + far).otherwise(0)
-    sums = joined.agg(F.count("*").alias("members"), F.sum(seen).alias("visible"), F.max("n").alias("n"))
-    return sums.select("members", "visible", F.when((F.col("n") <= 1) | (F.col("members") == 0), 0.0).otherwise(1 - F.col("visible") / (F.col("members") * (F.col("n") - 1))).alias("mhf"))
+    return mood.hiding(members, classes, _lines(spark, sf_dir)).withColumnRenamed("factor", "mhf")
 
 
-INHERITED_SQL = "ih AS (SELECT DISTINCT t.dst AS class, mb.signature FROM t JOIN mb ON mb.class = t.src JOIN k a ON a.class = t.src JOIN k b ON b.class = t.dst WHERE mb.visibility IN ('public', 'protected') OR (mb.visibility = 'package' AND a.package = b.package))"
+def _lines(spark, sf_dir):
+    """(class, ancestor) among the classes."""
+    return graph.closure(A.tree(spark, sf_dir)).select(F.col("dst").alias("class"), F.col("src").alias("ancestor"))
 
 
-def _inherited(spark, sf_dir):
-    """(class, signature) that ancestors in the project pass on."""
-    classes, members = _members(spark, sf_dir)
-    a, b = (classes.select(F.col("class").alias(s), F.col("package").alias(f"p{s}")) for s in ("src", "dst"))
-    lines = graph.closure(A.tree(spark, sf_dir)).join(a, "src").join(b, "dst")
-    passed = lines.join(members.withColumnRenamed("class", "src"), "src").filter("visibility in ('public', 'protected') or (visibility = 'package' and psrc = pdst)")
-    return passed.select(F.col("dst").alias("class"), "signature").distinct(), members
+INHERITED_SQL = "ih AS (SELECT DISTINCT t.dst AS class, mb.signature FROM t JOIN mb ON mb.class = t.src JOIN k a ON a.class = t.src JOIN k b ON b.class = t.dst WHERE mb.visibility IN ('public', 'protected') OR (mb.visibility = 'package' AND a.package = b.package))"
 
 
 @register("mood_inheritance", f"""{CLOSURE_SQL.replace('WITH RECURSIVE', f'WITH RECURSIVE {MEMBERS_SQL},')}, {INHERITED_SQL},
 i AS (SELECT count(*) AS i FROM ih WHERE NOT EXISTS (SELECT 1 FROM mb WHERE mb.class = ih.class AND mb.signature = ih.signature)), d AS (SELECT count(*) AS d FROM mb)
 SELECT i AS inherited, i + d AS available, coalesce(i::DOUBLE / nullif(i + d, 0), 0) AS mif FROM i, d""")
 def mood_inheritance(spark, sf_dir):
-    inherited, members = _inherited(spark, sf_dir)
-    fresh = inherited.join(members, ["class", "signature"], "left_anti").agg(F.count("*").alias("inherited"))
-    declared = members.agg(F.count("*").alias("declared"))
-    total = F.col("inherited") + F.col("declared")
-    return fresh.crossJoin(F.broadcast(declared)).select("inherited", total.alias("available"), F.coalesce(F.try_divide(F.col("inherited").cast("double"), total), F.lit(0.0)).alias("mif"))
+    classes, members = _members(spark, sf_dir)
+    return mood.method_inheritance(members, classes, _lines(spark, sf_dir)).withColumnRenamed("factor", "mif")
 
 
 @register("mood_polymorphism", f"""{CLOSURE_SQL.replace('WITH RECURSIVE', f'WITH RECURSIVE {MEMBERS_SQL},')}, {INHERITED_SQL},
@@ -167,11 +152,8 @@ ds AS (SELECT src AS class, count(*) AS n FROM t GROUP BY 1),
 s AS (SELECT count(*) FILTER (over) AS overriding, coalesce(sum(n) FILTER (NOT over), 0)::BIGINT AS possible FROM o LEFT JOIN ds ON ds.class = o.class)
 SELECT overriding, possible, CASE WHEN possible = 0 THEN 1.0 ELSE overriding::DOUBLE / possible END AS pf FROM s""")
 def mood_polymorphism(spark, sf_dir):
-    inherited, members = _inherited(spark, sf_dir)
-    down = graph.closure(A.tree(spark, sf_dir)).groupBy(F.col("src").alias("class")).agg(F.count("*").alias("n"))
-    overriding = members.join(inherited, ["class", "signature"], "left_semi").agg(F.count("*").alias("overriding"))
-    possible = members.join(inherited, ["class", "signature"], "left_anti").join(down, "class").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("possible"))
-    return overriding.crossJoin(F.broadcast(possible)).select("overriding", "possible", F.when(F.col("possible") == 0, 1.0).otherwise(F.col("overriding").cast("double") / F.col("possible")).alias("pf"))
+    classes, members = _members(spark, sf_dir)
+    return mood.polymorphism(members.withColumn("is_static", F.lit(False)), classes, _lines(spark, sf_dir)).withColumnRenamed("factor", "pf")
 
 
 @register("mood_coupling", f"WITH {A.PACKAGE_EDGES_SQL}, n AS (SELECT count(*) AS n FROM nation) SELECT count(*) AS couplings, count(*)::DOUBLE / (max(n) * (max(n) - 1) / 2) AS cf FROM pe, n WHERE src <> dst")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -23,6 +23,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of literals whose size the optimizer knows, so that it can broadcast it; ``schema`` as in createDataFrame."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    columns = [part.strip().split(" ", 1) for part in schema.split(",")]
+    names = [f"c{i}" for i in range(len(columns))]
+    values = ", ".join(f"({', '.join(f':v{r}_{i}' for i in range(len(columns)))})" for r in range(len(rows)))
+    casts = ", ".join(f"cast({n} as {kind}) as `{name}`" for n, (name, kind) in zip(names, columns, strict=True))
+    return spark.sql(f"select {casts} from values {values} as t({', '.join(names)})", args={f"v{r}_{i}": v for r, row in enumerate(rows) for i, v in enumerate(row)})
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benches."""
     return prepare(

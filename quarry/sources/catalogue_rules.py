@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.scope import ROLES
+from quarry.session import literal_rows
 
 #: Id, title, level, maturity, required scope, worsening kind, budgets, and conditions (code, min, max); all of version 1, mode warn.
 CATALOGUE = [
@@ -32,11 +33,11 @@ class PolicyError(ValueError):
 
 def rules(spark: SparkSession) -> DataFrame:
     rows = [(i, VERSION, title, level, maturity, scope, worsening, i in ENABLED, "warn", SEVERITY) for i, title, level, maturity, scope, worsening, _, _ in CATALOGUE]
-    return spark.createDataFrame(rows, "rule string, version int, title string, level string, maturity string, scope string, worsening string, enabled boolean, mode string, severity string")
+    return literal_rows(spark, rows, "rule string, version int, title string, level string, maturity string, scope string, worsening string, enabled boolean, mode string, severity string")
 
 
 def conditions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *c) for i, *_, cs in CATALOGUE for c in cs], "rule string, code string, min double, max double")
+    return literal_rows(spark, [(i, *c) for i, *_, cs in CATALOGUE for c in cs], "rule string, code string, min double, max double")
 
 
 def effective(rule_rows: DataFrame, condition_rows: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:

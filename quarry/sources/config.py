@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import literal_rows
+
 THRESHOLD_SCHEMA = "code string, min double, max double"
 CONDITION_SCHEMA = "rule string, code string, min double, max double"
 #: The stock profiles, as code, least and largest value.
@@ -67,13 +69,13 @@ def thresholds(spark: SparkSession, raw: dict, known: set[str]) -> DataFrame:
         if low is not None and high is not None and low > high:
             raise ConfigError(f"{code}: min is above max")
         rows.append((code, low, high))
-    return spark.createDataFrame(rows, THRESHOLD_SCHEMA)
+    return literal_rows(spark, rows, THRESHOLD_SCHEMA)
 
 
 def rules(spark: SparkSession, raw: list[dict]) -> DataFrame:
     """Condition rows from [{name, conditions: [{metric, min, max}]}]; problems are reported later, not raised."""
     rows = [(r["name"], c["metric"], None if c.get("min") is None else float(c["min"]), None if c.get("max") is None else float(c["max"])) for r in raw for c in r.get("conditions", [])]
-    return spark.createDataFrame(rows, CONDITION_SCHEMA)
+    return literal_rows(spark, rows, CONDITION_SCHEMA)
 
 
 def exclusions(raw) -> list[str]:
@@ -97,7 +99,7 @@ def profile_rows(name: str) -> list[tuple[str, float, float]]:
 
 def profile(spark: SparkSession, name: str, overlay: DataFrame | None = None) -> DataFrame:
     """A stock profile; an overlay's rows replace those of the same code and add others."""
-    base = spark.createDataFrame(profile_rows(name), THRESHOLD_SCHEMA)
+    base = literal_rows(spark, profile_rows(name), THRESHOLD_SCHEMA)
     if overlay is None:
         return base
     return base.join(overlay, "code", "left_anti").unionByName(overlay.select("code", F.col("min"), F.col("max")))

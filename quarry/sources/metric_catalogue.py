@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import literal_rows
+
 #: Codes in catalogue order, with their names.
 METRICS = """
 CND: Condition Nesting Depth; LND: Loop Nesting Depth; CC: Cyclomatic Complexity; NOL: Number of Loops; LOC: Lines of Code; NOPM: Number of
@@ -61,7 +63,7 @@ def unit_of(code: str) -> str:
 
 def table(spark: SparkSession) -> DataFrame:
     """(code, name, ordinal, unit, scope)."""
-    return spark.createDataFrame([(c, n, i, unit_of(c), scope_of(c)) for i, (c, n) in enumerate(codes())], "code string, name string, ordinal int, unit string, scope string")
+    return literal_rows(spark, [(c, n, i, unit_of(c), scope_of(c)) for i, (c, n) in enumerate(codes())], "code string, name string, ordinal int, unit string, scope string")
 
 
 def find(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
