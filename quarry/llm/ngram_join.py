@@ -10,13 +10,14 @@ the noise of the rest), and break ties by three different hashes.
    sums give each bin a level, one byte, and the levels are broadcast.
 2. Profile: one row a document with the hash of its set, its prefixes and some keys, each from two minima of
    plain hash orders. Documents with equal sets form a class; the smallest doc_id stands for it from here on.
-3. Key groups: documents with an equal key are very likely alike. A group of at most BLOCK documents is
+3. Key groups: documents with an equal key are very likely alike. Only groups of more than KEYED documents, which
+   would give too many pairs, are taken out of the filtering: one of at most BLOCK documents is
    compared completely inside one task, and only a spanning forest of its links is sent on. In a larger one all
    members are first compared with CENTRES of them, which is linear and connects near copies; only those that
    this leaves apart from the group's main component are compared with all members, in pairs of blocks. So a
    large group of near copies costs no pair rows; groups with the same members are compared once.
 4. Candidates: pairs of representatives that share a prefix token of the first order, have sizes in range
-   and share no key of step 3 (those pairs are connected if any links connect them). Sets too small to link with
+   and share no key of a group of step 3 (those pairs are connected if any links connect them). Sets too small to link with
    any unequal one take no part in steps 3 and 4, as their few tokens could be very common. Under the second order the prefixes are longer by
    n // 8 tokens and must have as many in common as they are longer; under the third they must meet. What
    is left is verified by its sets.
@@ -51,6 +52,8 @@ from quarry.llm.shingles import salted, shingle_sets
 SKETCH_BITS, SKETCH_LOAD, SKETCH_ROW = (14, 24), 128, 4096
 #: Documents of one block, and members of a large key group that all others are compared with.
 BLOCK, CENTRES = 256, 8
+#: Members of a key group up to which its pairs are left to the prefix filters.
+KEYED = 4
 #: Bytes of a broadcast row of ids alone, and with a row of keys or places for each of some keys.
 ID_BYTES, PLACE_BYTES = 24, 48
 
@@ -302,7 +305,7 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
     keys = key_count(num, den)
     reps = reps.filter(F.col("n") * den >= (F.col("n") + 1) * num)  # a smaller set links with equal ones only
     starred = reps.select("doc_id", F.explode("stars").alias("star")).distinct()
-    groups = starred.groupBy("star").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.sum(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 31))).alias("sum")).filter("size > 1")
+    groups = starred.groupBy("star").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.sum(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 31))).alias("sum")).filter(F.col("size") > KEYED)
     groups = stored(groups, "key-groups")
     grouped = stored(starred.join(groups.select("star", "size"), "star"), "grouped")
     decided = grouped.groupBy("doc_id").agg(F.collect_set("star").alias("decided"))
