@@ -10,7 +10,7 @@ import pyarrow as pa
 from quarry.llm.common import SPACES
 
 #: Bytes of text hashed at once; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 ODD = [pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(64)]
