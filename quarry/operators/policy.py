@@ -175,8 +175,11 @@ def correspondence(base: DataFrame, current: DataFrame, moves: DataFrame) -> Dat
     (old_path, new_path); the last entry of an old path wins by ``seq``.
     """
     moved = dedupe_last(moves, ["old_path"], [F.col("seq")]).select("old_path", "new_path")
-    same = current.join(base, ["path", "name"], "left_semi").select("path", "name", F.col("path").alias("base_path"), F.lit("SAME").alias("kind"))
-    rest_now, rest_old = current.join(base, ["path", "name"], "left_anti"), base.join(current, ["path", "name"], "left_anti")
+    # one aggregate tells which side an entity is on; what is on both corresponds
+    sides = base.select("path", "name", F.lit(1).alias("old"), F.lit(0).alias("now")).unionByName(current.select("path", "name", F.lit(0).alias("old"), F.lit(1).alias("now")))
+    sides = sides.groupBy("path", "name").agg(F.max("old").alias("old"), F.max("now").alias("now"))
+    same = sides.filter("old = 1 and now = 1").select("path", "name", F.col("path").alias("base_path"), F.lit("SAME").alias("kind"))
+    rest_now, rest_old = sides.filter("old = 0").select("path", "name"), sides.filter("now = 0").select("path", "name")
     by_move = rest_old.join(moved, F.col("path") == F.col("old_path")).select(F.col("new_path").alias("path"), "name", F.col("path").alias("base_path"))
     by_move = dedupe_last(rest_now.join(by_move, ["path", "name"]), ["path", "name"], [F.col("base_path")]).select("path", "name", "base_path", F.lit("MOVED").alias("kind"))
     added = rest_now.join(by_move, ["path", "name"], "left_anti").select("path", "name", F.lit(None).cast("string").alias("base_path"), F.lit("ADDED").alias("kind"))
