@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def kept(df: DataFrame, *by: str) -> DataFrame:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+        made = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)  # of this process alone, gone with it
+        folder = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=list(by) or None)
