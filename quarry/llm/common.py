@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+        made = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)  # of this process alone, gone with it
+        folder = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -117,7 +121,7 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: s
     """``df`` with sums over all rows before each one in ``order``, which no two rows may share.
 
     Rows are dealt by ranges of the order and stored; the ranges' sums, a few rows, give where each range
-    starts, and a window within the range gives the rest. No task holds all rows. ``df`` may not be empty of columns.
+    starts, and a window within the range gives the rest. No task holds all rows.
     """
     dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), name)
     totals = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
