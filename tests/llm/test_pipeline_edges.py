@@ -29,9 +29,9 @@ def test_without_labels(spark, tmp_path):
 def test_clashing_columns_repeats_and_folders(spark, tmp_path):
     rows = [(i % 40, f"{LONG} {i % 40} " * (1 + i % 3), "aa", f"s{i % 3}", 7, "x", i, None, "y") for i in range(60)]
     folder = write(spark, tmp_path, rows, f"{SCHEMA}, size string, copies int, key string, lines string")
-    before = list(common.STORED)
+    there = lambda: set(os.listdir(common.shared_dir(spark).removeprefix("file://")))
+    stored, folders = list(common.STORED), there()
     assert corpus_pipeline.run(spark, folder).count() > 0
-    left = [p for p in common.STORED if p not in before]
+    left = [p for p in common.STORED if p not in stored]
     assert len(left) == 1 and "stage-mixing" in left[0]
-    mine = {os.path.basename(p) for p in left + before}
-    assert {p for p in os.listdir(common.shared_dir(spark).removeprefix("file://")) if p.startswith("stage-")} <= mine
+    assert {p for p in there() - folders if p.startswith("stage-")} == {os.path.basename(left[0])}
